@@ -7,23 +7,39 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op3_mixing
+from .op2_language import identify
+from .op5_minhash_forest import near_duplicates
 from .op7_bpe import digest_texts
 from .op9_token_counts import count_tokens
 from .staging import read_table
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_mixing.plan_mix(read_table(spark, sf_dir, "documents"))
+
+
+def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an empty cache each time, so that its figures hold the whole work."""
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op7_bpe_round_trip, op9_token_counts)
+    own = (op2_language_mixture, op3_source_mix, op5_minhash_forest, op7_bpe_round_trip, op9_token_counts)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mix": op3_mixing.ORACLE_SQL}
