@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,7 +74,7 @@ def _counts(df: DataFrame) -> DataFrame:
         for batch in batches:
             langs = batch.column(1)
             for lang in langs.unique().to_pylist():
-                part = batch.column(0).filter(pa.compute.equal(langs, lang))
+                part = batch.column(0).filter(pc.equal(langs, lang))
                 data, offsets = utf8_view(part)
                 for a, b in chunks(offsets):
                     h, _, _ = trigrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -196,6 +197,22 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_
     return df.select(key, text).mapInArrow(run, schema)
 
 
+def keep_identified(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of df whose text has a language that makes up ``least`` of it, with df's columns; texts don't move."""
+    names, logp = model
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8_view(batch.column(at))
+            for a, b in chunks(offsets):
+                h, words, first = trigrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                top = mixtures(logp, words, h, first).max(axis=1, initial=0)
+                yield batch.slice(a, b - a).filter(pa.array(top >= least))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, held_out, lang_pred, score, languages, proportions) of every row of df, learned from its own labelled rows."""
     found = predict(df, learn(df, key, text, lang), key, text)

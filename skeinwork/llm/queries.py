@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op3_mixing
+from .op1_pii import pseudonymise
 from .op2_language import identify
 from .op5_minhash_forest import near_duplicates
 from .op7_bpe import digest_texts
@@ -15,6 +16,10 @@ from .op9_token_counts import count_tokens
 from .staging import read_table
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), found="pii_kinds")
+
+
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_language_mixture, op3_source_mix, op5_minhash_forest, op7_bpe_round_trip, op9_token_counts)
+    own = (op1_pii_pseudonyms, op2_language_mixture, op3_source_mix, op5_minhash_forest, op7_bpe_round_trip, op9_token_counts)
     return {f.__name__: f for f in own}
 
 
