@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import op3_mixing, op4_impact_topk, op6_chat
 from .op1_pii import pseudonymise
+from .op10_html import extract_text
 from .op2_language import identify
 from .op5_minhash_forest import near_duplicates
 from .op7_bpe import digest_texts
@@ -55,8 +56,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii_pseudonyms, op2_language_mixture, op3_source_mix, op4_impact_topk_search, op5_minhash_forest, op6_chat_snapshots, op7_bpe_round_trip, op8_e8_lattice_links, op9_token_counts)
+    own = (op1_pii_pseudonyms, op2_language_mixture, op3_source_mix, op4_impact_topk_search, op5_minhash_forest, op6_chat_snapshots, op7_bpe_round_trip, op8_e8_lattice_links, op9_token_counts, op10_html_main_text)
     return {f.__name__: f for f in own}
 
 
