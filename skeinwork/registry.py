@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from .plans import relational, versions
+from .plans.base import Query
 
 FLAGSHIP = "group_by_sum"
+SECTIONS = (relational.S, versions.S)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: f for s in SECTIONS for k, f in s.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for s in SECTIONS for k, q in s.sql.items()}
