@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import relational, versions
+from .plans import crawl, graph, planning, relational, search, text, vectors, versions
 from .plans.base import Query
 
 FLAGSHIP = "group_by_sum"
-SECTIONS = (relational.S, versions.S)
+SECTIONS = (relational.S, versions.S, planning.S, text.S, search.S, vectors.S, graph.S, crawl.S)
 
 
 def queries() -> dict[str, Query]:
