@@ -42,9 +42,9 @@ def filter_(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").filter(F.col("c_mktsegment") == "BUILDING")
 
 
-@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_name LIKE '%1%' AND p_type LIKE '%S%'")
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE p_name LIKE '%ring%' AND p_type LIKE '%N%'")
 def like(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").filter(F.col("p_name").like("%1%") & F.col("p_type").like("%S%")).select("p_partkey", "p_name", "p_type")
+    return table(spark, d, "part").filter(F.col("p_name").like("%ring%") & F.col("p_type").like("%N%")).select("p_partkey", "p_name", "p_type")
 
 
 @query("""SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size > 10 AND p_size <= 40 AND p_retailprice BETWEEN 900 AND 1500
@@ -103,9 +103,9 @@ def semi_join(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def anti_join(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+    return table(spark, d, "customer").join(table(spark, d, "orders").filter("o_totalprice > 400000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice), 2) AS sum_price FROM lineitem WHERE l_quantity >= 10 GROUP BY l_returnflag ORDER BY l_returnflag")
