@@ -108,7 +108,7 @@ def _replay(sym: np.ndarray, lengths: np.ndarray, ranks: Ranks) -> tuple[np.ndar
     known = inner[now[inner] != _NONE].astype(np.int32)
     known = known[np.argsort(now[known], kind="stable")]
     present, first = np.unique(now[known], return_index=True)
-    begin = dict(zip(present.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(known)], strict=True), strict=True))
+    begin = dict(zip(present.tolist(), zip(first.tolist(), np.append(first, len(known))[1:].tolist(), strict=True), strict=True))
     later: dict[int, list] = {}
     dead = np.zeros(n, bool)
     odd: list[np.ndarray] = []
