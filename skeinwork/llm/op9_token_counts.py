@@ -117,11 +117,18 @@ def load_tokenizer(path: str):
 
 
 def _encode_misses(df: DataFrame, path: str) -> DataFrame:
-    """(digest, n_tokens) of (digest, text)."""
+    """(digest, n_tokens) of (digest, text); rows of one digest lie in one partition, and the first of them counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load_tokenizer(path)
+        seen: set[bytes] = set()
         for batch in batches:
+            new = []
+            for d in batch.column(0).to_pylist():
+                new.append(d not in seen)
+                seen.add(d)
+            if not all(new):
+                batch = batch.filter(pa.array(new))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.count(batch.column(1)), pa.int64())], names=["digest", "n_tokens"])
 
     return df.mapInArrow(run, T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())]))
