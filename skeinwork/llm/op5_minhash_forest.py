@@ -64,15 +64,15 @@ def shingle_sets(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def _prefix(depth: int):
+def _rotated(depth: int):
     """The first ``depth`` values of tree t's rotation of a signature laid twice end to end."""
-    return F.xxhash64("tree", F.expr(f"substring(concat(sig, substring(sig, 1, {4 * depth})), tree * {4 * STEP} + 1, {4 * depth})"))
+    return F.expr(f"substring(concat(sig, substring(sig, 1, {4 * depth})), tree * {4 * STEP} + 1, {4 * depth})")
 
 
 def candidates(classes: DataFrame, region: int = REGION) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ids in (id, sig) that are neighbours in some tree."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    inside = classes.select("id", "sig", trees).select("id", "tree", _prefix(DEPTHS[0]).alias("at"))
+    inside = classes.select("id", "sig", trees).select("id", "tree", F.xxhash64("tree", _rotated(DEPTHS[0])).alias("at"))
     found = []
     for k, depth in enumerate(DEPTHS):
         sizes = inside.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).filter("n > 1")
@@ -85,7 +85,9 @@ def candidates(classes: DataFrame, region: int = REGION) -> DataFrame:
         elif row_count(large) == 0:
             break
         else:
-            inside = large.select("id", "tree").join(classes, "id").select("id", "tree", _prefix(DEPTHS[k + 1]).alias("at"))
+            if k == 0:  # members of crowded regions bring the values that deeper prefixes need, once
+                large = large.select("id", "tree").join(classes, "id").withColumn("path", _rotated(DEPTHS[-1]))
+            inside = large.select("id", "tree", "path", F.xxhash64("tree", F.expr(f"substring(path, 1, {4 * DEPTHS[k + 1]})")).alias("at"))
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.unionByName(x)
