@@ -6,6 +6,7 @@ path. Every round's edges are a table in the shared folder, so lineage stays sho
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = after
     roots = pairs.select(F.col("v").alias("node")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def local_forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes reaches over links a-b."""
+    low = np.arange(n)
+    while len(a):
+        m = np.minimum(low[a], low[b])
+        before = low.copy()
+        np.minimum.at(low, low[a], m)
+        np.minimum.at(low, low[b], m)
+        np.minimum.at(low, a, m)
+        np.minimum.at(low, b, m)
+        low = low[low]
+        if (low == before).all():
+            break
+    return low

@@ -21,11 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix64
 from .components import connected_components
+from .components import local_forest as _forest
 from .staging import row_count, stage
 
 TABLES, BLOCKS, SCALE = 20, 3, 2.2
@@ -138,63 +140,68 @@ def _in_cells(classes: DataFrame, payload: bool) -> DataFrame:
     return classes.select("id", "n", "vec").mapInArrow(run, schema)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest node that each of n nodes reaches over links a-b."""
-    low = np.arange(n)
-    while len(a):
-        m = np.minimum(low[a], low[b])
-        before = low.copy()
-        np.minimum.at(low, low[a], m)
-        np.minimum.at(low, low[b], m)
-        np.minimum.at(low, a, m)
-        np.minimum.at(low, b, m)
-        low = low[low]
-        if (low == before).all():
-            break
-    return low
-
-
-def _new_links(i: np.ndarray, j: np.ndarray, t: int, home: np.ndarray, probe: np.ndarray) -> np.ndarray:
-    """Which pairs i, j meet in no table before t."""
+def _new_links(i: np.ndarray, j: np.ndarray, tab: np.ndarray, home: np.ndarray, probe: np.ndarray) -> np.ndarray:
+    """Which pairs i, j, found in table tab, meet in no table before it."""
     open_ = np.arange(len(i))
-    for s in range(t):
+    for s in range(int(tab.max(initial=0))):
         a, b = i[open_], j[open_]
-        met = (home[a, s] == home[b, s]) | (probe[a, s] == home[b, s]) | (home[a, s] == probe[b, s])
+        met = (s < tab[open_]) & ((home[a, s] == home[b, s]) | (probe[a, s] == home[b, s]) | (home[a, s] == probe[b, s]))
         open_ = open_[~met]
-        if not len(open_):
-            break
     return open_
 
 
-def _compare(tab: int, ids: np.ndarray, n: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, vectors: np.ndarray, least: float):
-    """Links counted in one cell's block pair: (sums by row, i, j). left and right mark the rows of either block."""
+def _near_pairs(ids: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, vectors: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell's two blocks with cosine >= least, at least one of them at home, each pair once."""
     norms = np.linalg.norm(vectors, axis=1)
     a, b = np.flatnonzero(left), np.flatnonzero(right)
-    pairs = []
     for lo in range(0, len(a), 1024):
         i = a[lo : lo + 1024]
-        near = vectors[i] @ vectors[b].T >= least * norms[i][:, None] * norms[b][None, :]
-        x, y = np.nonzero(near)
+        x, y = np.nonzero(vectors[i] @ vectors[b].T >= least * norms[i][:, None] * norms[b][None, :])
         x, y = i[x], b[y]
         keep = (home[x] | home[y]) & (ids[x] != ids[y])
         # within one block a pair shows twice, in two different blocks once
         keep &= (x < y) | ~(left[y] & right[x])
-        pairs.append((x[keep], y[keep]))
-    x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-    sums = np.zeros(len(ids), np.int64)
-    if len(x):
-        used, inner = np.unique(np.concatenate([x, y]), return_inverse=True)
-        at_home, at_probe = cells(vectors[used])
-        p, q = inner[: len(x)], inner[len(x) :]
+        yield x[keep], y[keep]
+
+
+class _Sums:
+    """Links of some cells: sums by row and a forest of row pairs. Pairs are settled in batches of bounded size."""
+
+    LIMIT = 1 << 21
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, home: np.ndarray, tab: np.ndarray, vectors):
+        self.ids, self.n, self.home, self.tab, self.vectors = ids, n, home, tab, vectors
+        self.sums, self.open, self.size = np.zeros(len(ids), np.int64), [], 0
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.open.append((x, y))
+        self.size += len(x)
+        if self.size > self.LIMIT:
+            self.settle()
+
+    def settle(self) -> None:
+        """Count the pairs that no earlier table has; their vectors' cells are worked out together."""
+        if not self.size:
+            return
+        x, y = (np.concatenate(c) for c in zip(*self.open, strict=True))
+        self.open, self.size = [], 0
+        # a vector stands in many rows: its cells are needed once
+        names, inner = np.unique(self.ids[np.concatenate([x, y])], return_inverse=True)
+        first = np.zeros(len(names), np.int64)
+        first[inner] = np.concatenate([x, y])
+        at_home, at_probe = cells(self.vectors(first))
+        p, q, tab = inner[: len(x)], inner[len(x) :], self.tab[x]
         fresh = _new_links(p, q, tab, at_home, at_probe)
         # where either probes the other's home in this table, the pair counts at the smaller id's home
         mutual = (at_home[p, tab] != at_home[q, tab]) & (at_probe[p, tab] == at_home[q, tab]) & (at_home[p, tab] == at_probe[q, tab])
-        first = np.where(ids[x] < ids[y], home[x], home[y])
-        fresh = fresh[~mutual[fresh] | first[fresh]]
-        x, y = x[fresh], y[fresh]
-        np.add.at(sums, x, n[y])
-        np.add.at(sums, y, n[x])
-    return sums, x, y
+        lower = np.where(self.ids[x] < self.ids[y], self.home[x], self.home[y])
+        fresh = fresh[~mutual[fresh] | lower[fresh]]
+        np.add.at(self.sums, x[fresh], self.n[y[fresh]])
+        np.add.at(self.sums, y[fresh], self.n[x[fresh]])
+        low = _forest(p[fresh], q[fresh], len(names))
+        own = np.flatnonzero(low != np.arange(len(names)))
+        self.edges.append((names[own], names[low[own]]))
 
 
 def _links_in(table: pa.Table, least: float, kind: pa.DataType) -> pa.Table:
@@ -202,26 +209,30 @@ def _links_in(table: pa.Table, least: float, kind: pa.DataType) -> pa.Table:
     ids, n = table["id"].to_numpy(), table["n"].to_numpy()
     cell, bi, bj, block = (table[c].to_numpy() for c in ("cell", "bi", "bj", "block"))
     home, tab = table["home"].to_numpy(), table["tab"].to_numpy()
-    order = np.lexsort((ids, bj, bi, cell))
-    change = np.flatnonzero((np.diff(cell[order]) != 0) | (np.diff(bi[order]) != 0) | (np.diff(bj[order]) != 0)) + 1
     raw = table["vec"].combine_chunks()
+    length = pc.binary_length(raw).to_numpy()
+    order = np.lexsort((ids, length, bj, bi, cell))
+    change = np.flatnonzero((np.diff(cell[order]) != 0) | (np.diff(bi[order]) != 0) | (np.diff(bj[order]) != 0) | (np.diff(length[order]) != 0)) + 1
     out_id, out_other, out_n = [], [], []
-    for rows in np.split(order, change):
-        if len(rows) < 2 or not home[rows].any():
-            continue
-        vectors = np.frombuffer(b"".join(raw.take(pa.array(rows)).to_pylist()), np.float64).reshape(len(rows), -1)
-        left, right = block[rows] == bi[rows], block[rows] == bj[rows]
-        sums, x, y = _compare(int(tab[rows[0]]), ids[rows], n[rows], home[rows], left, right, vectors, least)
-        some = np.flatnonzero(sums)
-        if not len(some):
-            continue
-        low = _forest(x, y, len(rows))
-        own = np.flatnonzero(low != np.arange(len(rows)))
-        out_id += [ids[rows[some]], ids[rows[own]]]
-        out_other += [[None] * len(some), ids[rows[low[own]]].tolist()]
-        out_n += [sums[some].tolist(), [None] * len(own)]
-    flat = lambda xs: [v for x in xs for v in x]
-    return pa.table({"id": pa.array(flat(x.tolist() for x in out_id), kind), "other": pa.array(flat(out_other), kind), "n": pa.array(flat(out_n), pa.int64())})
+    take = lambda rows: np.frombuffer(b"".join(raw.take(pa.array(rows)).to_pylist()), np.float64).reshape(len(rows), -1)
+    for width in np.unique(length):
+        found = _Sums(ids, n, home, tab, take)
+        for rows in np.split(order, change):
+            if len(rows) < 2 or length[rows[0]] != width or not home[rows].any():
+                continue
+            for x, y in _near_pairs(ids[rows], home[rows], block[rows] == bi[rows], block[rows] == bj[rows], take(rows), least):
+                if len(x):
+                    found.add(rows[x], rows[y])
+        found.settle()
+        some = np.flatnonzero(found.sums)
+        out_id.append(ids[some])
+        out_other += [None] * len(some)
+        out_n += found.sums[some].tolist()
+        for a, b in found.edges:
+            out_id.append(a)
+            out_other += b.tolist()
+            out_n += [None] * len(a)
+    return pa.table({"id": pa.array(np.concatenate([ids[:0], *out_id]), kind), "other": pa.array(out_other, kind), "n": pa.array(out_n, pa.int64())})
 
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = LEAST) -> DataFrame:
