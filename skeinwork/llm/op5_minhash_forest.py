@@ -4,9 +4,14 @@ Texts with one shingle set are one class, found by a digest of the set. Each cla
 forest sorts the signatures by its own rotation of their values. Classes that share the first values of a tree form a
 region; a region of up to ``region`` classes has all its pairs as candidates, a larger one is cut by longer common
 prefixes until its parts are small, so depth adapts to density. What still shares the longest prefix hangs on the
-region's smallest class. A candidate's signatures must agree in ``floor`` of their places; then full sets decide. Two
-rounds check every class's best open partner and drop candidates that lie within one component already, so a group of
-n copies costs about n comparisons and never all its pairs; a third checks all that are still open between components.
+region's smallest class. A candidate's signatures must agree in ``floor`` of their places; then full sets decide. A
+first turn checks every class against its best and its smallest partner; candidates that lie within one component then
+are dropped, so a group of n copies costs about 2 n comparisons and never all its pairs, and a second turn checks all
+that are still open between components.
+
+Cutting a crowded region can part a pair in every tree, so the classes that were in one are settled exactly as well:
+those that regions chain together form a cluster, a cluster is dealt into blocks of bounded size, and each two blocks
+count their sets' common shingles by products of 0/1 matrices and yield a spanning forest of their links, never pairs.
 
 Null or wordless texts have no shingles and link with nothing. A null doc_id takes no part: component_id null, kept
 false. Repeated rows are one class and each row is returned; ties go to the smaller doc_id; an empty table gives an
@@ -24,14 +29,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
+from .components import local_forest as _forest
 from .shingles import column_sets, minhash, set_digests
 from .staging import row_count, stage
 
 TREES, STEP = 32, 4
 VALUES = TREES * STEP
-DEPTHS = (4, 6, 8, 12, 16, 24, 32)
+DEPTHS = (4, 8, 16, 32)
 REGION = 12
 FLOOR = 0.55
+BLOCK = 1024
+COLUMNS = 4096
 SEED = 20240611
 
 
@@ -69,17 +77,20 @@ def _rotated(depth: int):
     return F.expr(f"substring(concat(sig, substring(sig, 1, {4 * depth})), tree * {4 * STEP} + 1, {4 * depth})")
 
 
-def candidates(classes: DataFrame, region: int = REGION) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ids in (id, sig) that are neighbours in some tree."""
+def candidates(classes: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFrame]:
+    """(distinct pairs (a, b), a < b, of ids in (id, sig) that are neighbours in some tree; links (w, low) that chain the classes of each crowded region)."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     inside = classes.select("id", "sig", trees).select("id", "tree", F.xxhash64("tree", _rotated(DEPTHS[0])).alias("at"))
     found = []
+    crowded = None
     for k, depth in enumerate(DEPTHS):
         sizes = inside.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).filter("n > 1")
         grouped = stage(inside.join(sizes, "at"), "regions")
         small = grouped.filter(F.col("n") <= region).select("at", "id")
         found.append(small.select("at", F.col("id").alias("a")).join(small.select("at", F.col("id").alias("b")), "at").filter("a < b").select("a", "b"))
         large = grouped.filter(F.col("n") > region)
+        if k == 0:
+            crowded = stage(large.select(F.col("id").alias("w"), "low").distinct(), "crowded")
         if depth == DEPTHS[-1]:
             found.append(large.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")))
         elif row_count(large) == 0:
@@ -91,7 +102,44 @@ def candidates(classes: DataFrame, region: int = REGION) -> DataFrame:
     pairs = found[0]
     for x in found[1:]:
         pairs = pairs.unionByName(x)
-    return pairs.distinct()
+    return pairs.distinct(), crowded
+
+
+def _exact_links(table: pa.Table, percent: int) -> pa.Table:
+    """Spanning forest (a, b) of the links between two blocks of (id, block, bi, bj, shingles); one block alone has bi = bj."""
+    order = np.argsort(table["id"].to_numpy(), kind="stable")
+    ids, block = table["id"].to_numpy()[order], table["block"].to_numpy()[order]
+    raw = table["shingles"].combine_chunks()
+    sets = [np.frombuffer(raw[int(i)].as_buffer(), np.uint64) for i in order]
+    n = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = df[code] > 1
+    owner, code = owner[keep], code[keep]
+    by = np.argsort(code, kind="stable")
+    owner, code = owner[by], np.unique(code[by], return_inverse=True)[1]
+    a, b = np.flatnonzero(block == table["bi"][0].as_py()), np.flatnonzero(block == table["bj"][0].as_py())
+    common = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, int(code.max(initial=-1)) + 1, COLUMNS):
+        span = slice(np.searchsorted(code, lo), np.searchsorted(code, lo + COLUMNS))
+        ones = np.zeros((len(sets), COLUMNS), np.float32)
+        ones[owner[span], code[span] - lo] = 1
+        common += ones[a] @ ones[b].T
+    x, y = np.nonzero(100 * common >= percent * (n[a][:, None] + n[b][None, :] - common))
+    x, y = a[x], b[y]
+    low = _forest(x[x != y], y[x != y], len(ids))
+    own = np.flatnonzero(low != np.arange(len(ids)))
+    return pa.table({"a": pa.array(ids[low[own]], table["id"].type), "b": pa.array(ids[own], table["id"].type)})
+
+
+def exact_links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """(a, b): forests of the links within each cluster (node, component) of (id, shingles) rows."""
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = sets.dropDuplicates(["id"]).join(met, F.col("id") == F.col("node")).select("component", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block", "id", "shingles")
+    kind = dict(sets.dtypes)["id"]
+    return rows.groupBy("component", "bi", "bj").applyInArrow(lambda t: _exact_links(t, percent), f"a {kind}, b {kind}")
 
 
 def _agreement(pairs: DataFrame) -> DataFrame:
@@ -129,31 +177,40 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     classes = signed.join(reps.select(F.col("rep").alias("id"), F.col("set_key").alias("own")), "id").filter("set_key = own").select("id", "sig").dropDuplicates(["id"])
     classes = stage(classes, "class-signatures")
 
-    pairs = candidates(classes)
+    pairs, crowded = candidates(classes)
     side = lambda n: classes.select(F.col("id").alias(n), F.col("sig").alias(f"sig_{n}"))
     open_ = _agreement(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b")).filter(F.col("alike") >= FLOOR)
     open_ = stage(open_, "candidates")
-    wanted = open_.select(F.col("a").alias("w")).unionByName(open_.select(F.col("b").alias("w"))).distinct()
+    wanted = open_.select(F.col("a").alias("w")).unionByName(open_.select(F.col("b").alias("w"))).unionByName(crowded.select("w")).distinct()
     # the first row of each wanted id carries its set: repeated rows give equal sets
     texts = df.select(F.col(key).alias("id"), text).join(wanted.hint("shuffle_hash"), F.col("id") == F.col("w"), "left_semi")
     sets = stage(shingle_sets(texts, "id", text), "sets")
 
-    links = None
-    labels = None
-    turn = 0
-    while row_count(open_):
-        turn += 1
-        best = F.max(F.struct("alike", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("best")
-        ends = open_.withColumn("end", F.explode(F.array("a", "b")))
-        chosen = ends.groupBy("end").agg(best).select((-F.col("best.na")).alias("a"), (-F.col("best.nb")).alias("b")).distinct() if turn < 3 else open_.select("a", "b")
-        set_of = lambda n: sets.select(F.col("id").alias(n), F.col("shingles").alias(f"set_{n}"))
+    set_of = lambda n: sets.select(F.col("id").alias(n), F.col("shingles").alias(f"set_{n}"))
+    links = labels = None
+    if row_count(crowded):
+        chained = connected_components(crowded, "w", "low")
+        links = stage(exact_links(sets, chained, percent), "exact")
+        labels = stage(connected_components(links), "labels")
+    for turn in range(2):
+        if labels is not None:  # what lies within one component needs no check
+            of = lambda n: labels.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
+            rest = open_.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            open_ = stage(rest.filter(~F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False))).select("a", "b", "alike"), "candidates")
+        if row_count(open_) == 0:
+            break
+        chosen = open_.select("a", "b")
+        if turn == 0:
+            ends = open_.select("a", "b", "alike", F.explode(F.array("a", "b")).alias("end"))
+            pair = F.struct("a", "b")
+            picked = ends.groupBy("end").agg(F.max_by(pair, F.struct("alike", -F.col("a"), -F.col("b"))).alias("best"), F.min(pair).alias("low"))
+            chosen = picked.select(F.explode(F.array("best", "low")).alias("p")).select("p.a", "p.b").distinct()
         checked = stage(_linked(chosen.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "set_a", "set_b"), percent), "checked")
         new = checked.filter("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
         labels = stage(connected_components(links), "labels")
-        of = lambda n: labels.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
-        rest = open_.join(checked.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        open_ = stage(rest.filter(~F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False))).select("a", "b", "alike"), "candidates")
+        if turn == 0:
+            open_ = open_.join(checked.select("a", "b"), ["a", "b"], "left_anti")
 
     found = signed.select("id", "n_shingles", "set_key").join(reps, "set_key", "left")
     if labels is not None:

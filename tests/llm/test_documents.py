@@ -12,7 +12,7 @@ from skeinwork.llm import op3_mixing
 from skeinwork.llm.op1_pii import luhn_digit, permute, pseudonymise, scrub
 from skeinwork.llm.op2_language import identify, keep_identified, learn
 from skeinwork.llm.op3_mixing import mix_rows, plan_mix
-from skeinwork.llm.op5_minhash_forest import candidates, near_duplicates, signatures
+from skeinwork.llm.op5_minhash_forest import candidates, exact_links, near_duplicates, shingle_sets, signatures
 
 
 def test_permutations():
@@ -151,8 +151,32 @@ def test_crowded_regions_are_cut_deeper(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(words[:40] + [f"x{i}"] + words[40:])) for i in range(60)]
     signed = signatures(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    pairs = candidates(signed.selectExpr("doc_id as id", "sig"), region=6)
-    assert 0 < pairs.count() < 60 * 59 // 2 and pairs.filter("a >= b").count() == 0
+    pairs, crowded = candidates(signed.selectExpr("doc_id as id", "sig"), region=6)
+    assert 0 < pairs.count() < 60 * 59 // 2 and pairs.filter("a >= b").count() == 0 and crowded.select("w").distinct().count() == 60
+
+
+def test_exact_pass_over_crowded_regions(spark, monkeypatch):
+    """Pairs about the threshold among texts that share half of their words, in blocks of seven."""
+    from skeinwork.llm import op5_minhash_forest as M
+
+    monkeypatch.setattr(M, "BLOCK", 7)
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(30)]
+    rows = []
+    for g in range(12):
+        own = [f"g{g}x{i}" for i in range(30)]
+        for c in range(4):
+            text = common + own
+            for _ in range(c):
+                text = text[:]
+                text[30 + rng.randrange(30)] = f"r{rng.random()}"
+            rows.append((len(rows), " ".join(text)))
+    sets_of = shingle_sets(spark.createDataFrame(rows, "id bigint, text string"), "id")
+    _, want = _brute(rows)
+    chained = spark.createDataFrame([(i, 0) for i, _ in rows], "node bigint, component bigint")
+    links = exact_links(sets_of, chained, 75)
+    got = {r["node"]: r["component"] for r in M.connected_components(links).collect()}
+    assert {i: got.get(i, i) for i in want} == want
 
 
 def test_pipeline(spark):
