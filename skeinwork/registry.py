@@ -5,7 +5,7 @@ from __future__ import annotations
 from .plans import crawl, graph, planning, relational, search, text, vectors, versions
 from .plans.base import Query
 
-FLAGSHIP = "group_by_sum"
+FLAGSHIP = "search_pipeline"
 SECTIONS = (relational.S, versions.S, planning.S, text.S, search.S, vectors.S, graph.S, crawl.S)
 
 

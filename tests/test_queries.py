@@ -22,7 +22,7 @@ def test_gives_rows(name, spark):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 3
+    assert __spark_entry__.entry(spark).count() == 20
     assert set(registry.queries()) <= set(__spark_entry__.queries())
 
 
