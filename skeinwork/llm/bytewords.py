@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 """Texts are worked through in chunks of about this many bytes; one longer text is a chunk of its own."""
 
 _SEED = 0x5EED_1E55

@@ -193,7 +193,7 @@ class Encoder:
     The store of known words is emptied at the start of a batch once it holds ``known_limit`` words, so memory is bounded.
     """
 
-    def __init__(self, ranks: Ranks, known_limit: int = 1 << 19):
+    def __init__(self, ranks: Ranks, known_limit: int = 1 << 18):
         self.ranks, self.known_limit = ranks, known_limit
         self._clear()
 

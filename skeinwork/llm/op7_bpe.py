@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .bytewords import chunks, utf8_view
 from .merge_replay import Encoder, decode_ids, load_ranks
 
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 """Texts whose new words share one replay."""
 
 

@@ -27,7 +27,7 @@ from .bytewords import chunks, utf8_view
 from .merge_replay import Encoder, Ranks
 from .staging import fresh_path, stage
 
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 CACHE_SCHEMA = "digest binary, n_tokens bigint, version string"
 
 
