@@ -46,7 +46,7 @@ def chunk_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
         few = np.flatnonzero(count == k)
         for i in range(k):
             out[at[few]] += words[first[few] + i] * _MIX[i]
-        out[at[few]] += np.uint64(k) * _MIX[WIDTH]
+        out[at[few]] += np.uint64(k * int(_MIX[WIDTH]) % (1 << 64))
     return mix64(out), at
 
 
