@@ -1,5 +1,6 @@
 """Queries do the whole job: their rows against DuckDB over whole tables, or against pinned values that a cut would miss."""
 
+import duckdb
 from conftest import SF
 
 from skeinwork import registry
@@ -9,3 +10,21 @@ def test_pagerank_takes_all_orders(spark, same_rows):
     cut = " WHERE o_orderkey <= 60"
     sql = registry.oracle_sql()["pagerank"]
     same_rows(registry.queries()["pagerank"](spark, SF), sql.replace(cut, ""))
+
+
+def write(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_clocks_of_all_users(spark, tmp_path):
+    kinds = ["click", "view", "purchase"]
+    events = [(u, kinds[(u * 7 + i * i) % 3]) for u in range(200) for i in range(u * 13 % 9 + u // 20)]
+    d = write(spark, tmp_path, "events", events, "user_id long, event_type string")
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{d}/events.parquet/*.parquet'")
+    for name in ("vclock_order", "frontier_versions"):
+        df = registry.queries()[name](spark, d)
+        ours = sorted(map(tuple, df.collect()))
+        rel = duck.sql(registry.oracle_sql()[name].replace("WHERE user_id < 40 ", ""))
+        assert ours == sorted(tuple(r) for r in rel.fetchall()) and max(r[0] for r in ours) >= 40
