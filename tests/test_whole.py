@@ -4,6 +4,7 @@ import duckdb
 from conftest import SF
 
 from skeinwork import registry
+from skeinwork.operators import vectors
 
 
 def test_pagerank_takes_all_orders(spark, same_rows):
@@ -28,3 +29,10 @@ def test_clocks_of_all_users(spark, tmp_path):
         ours = sorted(map(tuple, df.collect()))
         rel = duck.sql(registry.oracle_sql()[name].replace("WHERE user_id < 40 ", ""))
         assert ours == sorted(tuple(r) for r in rel.fetchall()) and max(r[0] for r in ours) >= 40
+
+
+def test_knn_graph_meets_all_rows(spark, same_rows, monkeypatch):
+    sql = registry.oracle_sql()["knn_graph"].replace("a.label = b.label AND ", "").replace(" AND a.vec_id % 10 = b.vec_id % 10", "")
+    same_rows(registry.queries()["knn_graph"](spark, SF), sql)
+    monkeypatch.setattr(vectors, "GRAPH_BLOCK", 100)  # six blocks a side
+    same_rows(registry.queries()["knn_graph"](spark, SF), sql)
