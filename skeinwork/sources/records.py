@@ -21,7 +21,7 @@ def from_pages(pages: DataFrame) -> DataFrame:
     body = text.clean(text.strip_html(F.regexp_replace("html", "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")))
     blank = F.lit(None).cast("string")
     return pages.select(
-        F.col("page_id").cast("string").alias("id"), clean_id(F.col("page_id").cast("string")).alias("clean_id"), title.alias("title"), F.substring(body, 1, 1000).alias("abstract"), F.array().cast("array<string>").alias("authors"),
+        F.col("page_id").cast("string").alias("id"), clean_id(F.col("page_id").cast("string")).alias("clean_id"), title.alias("title"), body.alias("abstract"), F.array().cast("array<string>").alias("authors"),
         blank.alias("published"), blank.alias("updated"), "url", blank.alias("pdf_url"), F.lit("web").alias("category"), F.array(F.lit("web")).alias("categories"), F.lit("spider").alias("source_type"), F.create_map(F.lit("host"), F.parse_url("url", F.lit("HOST"))).alias("extra"),
     )
 

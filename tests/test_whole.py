@@ -36,3 +36,10 @@ def test_knn_graph_meets_all_rows(spark, same_rows, monkeypatch):
     same_rows(registry.queries()["knn_graph"](spark, SF), sql)
     monkeypatch.setattr(vectors, "GRAPH_BLOCK", 100)  # six blocks a side
     same_rows(registry.queries()["knn_graph"](spark, SF), sql)
+
+
+def test_raw_items_keep_the_whole_text(spark, tmp_path):
+    html = f"<title>T</title><script>no</script><p>{'word ' * 900}end</p>"
+    d = write(spark, tmp_path, "pages", [(1, "https://a.org/x", html)], "page_id long, url string, html string")
+    item = registry.queries()["raw_items"](spark, d).first()
+    assert item["abstract"].endswith("word end") and item["abstract"].count("word") == 900
