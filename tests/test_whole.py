@@ -43,3 +43,9 @@ def test_raw_items_keep_the_whole_text(spark, tmp_path):
     d = write(spark, tmp_path, "pages", [(1, "https://a.org/x", html)], "page_id long, url string, html string")
     item = registry.queries()["raw_items"](spark, d).first()
     assert item["abstract"].endswith("word end") and item["abstract"].count("word") == 900
+
+
+def test_multi_sort_returns_all_customers(spark, tmp_path):
+    d = write(spark, tmp_path, "customer", [(i, "ab"[i % 2], float(i % 7)) for i in range(500)], "c_custkey long, c_mktsegment string, c_acctbal double")
+    rows = [tuple(r) for r in registry.queries()["multi_sort"](spark, d).collect()]
+    assert rows == sorted((("ab"[i % 2], float(i % 7), i) for i in range(500)), key=lambda r: (r[0], -r[1], r[2]))
