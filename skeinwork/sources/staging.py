@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only a local session without one gets a temp folder."""
+    """spark.checkpoint.dir of the session; a session without one gets a folder in its warehouse, which is shared as well."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="skeinwork-")
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet and read back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df written once as Parquet and read back: lineage ends there and survives lost executors."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def forget(*staged: DataFrame | None) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for df in staged:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
