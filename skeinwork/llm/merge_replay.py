@@ -187,9 +187,16 @@ def encode_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rank
     return ids, counts
 
 
+def _word_bytes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of some words end to end."""
+    heads = np.cumsum(lengths) - lengths
+    return data[np.arange(int(lengths.sum())) + np.repeat(starts - heads, lengths)]
+
+
 class Encoder:
-    """Encodes texts batch by batch. Words met before are looked up by hash; a batch's new words go through one replay.
+    """Encodes texts batch by batch. Words met before are looked up, a batch's new words go through one replay.
 
+    A lookup goes by hash and then compares the bytes; a word whose hash another word holds is kept in a table of its own.
     The store of known words is emptied at the start of a batch once it holds ``known_limit`` words, so memory is bounded.
     """
 
@@ -201,10 +208,12 @@ class Encoder:
         self.bits = 16
         self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.n, self.hashes = 0, np.zeros(0, np.uint64)
+        self.raw, self.raw_at, self.raw_len = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.holders, self.twins = np.zeros(0, np.int32), {}
         self.counts, self.at, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        """Number of each hash's word, or -1."""
+        """Number of the word that holds each hash, or -1."""
         mask = (1 << self.bits) - 1
         slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         found = self.keys[slot]
@@ -230,19 +239,58 @@ class Encoder:
             rest[won] = False
             h, entry, slot = h[rest], entry[rest], (slot[rest] + 1) & mask
 
-    def _learn(self, h: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        entry = np.arange(self.n, self.n + len(h), dtype=np.int32)
+    def _learn(self, raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers of new words, laid end to end in raw; they can be looked up once their hashes are placed."""
+        entry = np.arange(self.n, self.n + len(lengths), dtype=np.int32)
+        ids, counts = encode_words(raw, np.cumsum(lengths) - lengths, lengths, self.ranks)
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(counts) - counts])
         self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
+        self.raw_at = np.concatenate([self.raw_at, len(self.raw) + np.cumsum(lengths) - lengths])
+        self.raw_len, self.raw = np.concatenate([self.raw_len, lengths]), np.concatenate([self.raw, raw])
+        self.n += len(lengths)
+        return entry
+
+    def _hold(self, h: np.ndarray, entry: np.ndarray) -> None:
         self.hashes = np.concatenate([self.hashes, h])
-        self.n += len(h)
-        if 3 * self.n > 1 << self.bits:
-            self.bits = int(4 * self.n).bit_length()
+        self.holders = np.concatenate([self.holders, entry])
+        if 3 * len(self.hashes) > 1 << self.bits:
+            self.bits = int(4 * len(self.hashes)).bit_length()
             self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-            self._place(self.hashes, np.arange(self.n, dtype=np.int32))
+            self._place(self.hashes, self.holders)
         else:
             self._place(h, entry)
 
+    def _unlike(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Which words differ from the known words that hold their hashes; the words follow one another in data."""
+        same = self.raw_len[known] == lengths
+        if same.all():
+            if len(starts) and int(lengths.sum()) == len(data):  # the words tile the data
+                differs = self.raw[np.arange(len(data)) + np.repeat(self.raw_at[known] - starts, lengths)] != data
+                return np.flatnonzero(np.bitwise_or.reduceat(differs, starts)) if differs.any() else np.zeros(0, np.int64)
+            at = np.arange(len(starts))
+        else:
+            at = np.flatnonzero(same)
+        bad = np.flatnonzero(~same)
+        if len(at):
+            mine, held = _word_bytes(data, starts[at], lengths[at]), _word_bytes(self.raw, self.raw_at[known[at]], lengths[at])
+            differs = mine != held
+            if differs.any():
+                heads = np.cumsum(lengths[at]) - lengths[at]
+                bad = np.union1d(bad, at[np.bitwise_or.reduceat(differs, heads)])
+        return bad
+
+    def _settle(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, known: np.ndarray) -> None:
+        """Give words whose hash another word holds their own numbers, by their bytes."""
+        bad = self._unlike(data, starts, lengths, known)
+        if not len(bad):
+            return
+        words = [data[starts[i] : starts[i] + lengths[i]].tobytes() for i in bad.tolist()]
+        new = list(dict.fromkeys(w for w in words if w not in self.twins))
+        if new:
+            got = self._learn(np.frombuffer(b"".join(new), np.uint8), np.array([len(w) for w in new], np.int64))
+            self.twins.update(zip(new, got.tolist(), strict=True))
+        known[bad] = [self.twins[w] for w in words]
+
     def words(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
         """For each chunk: (number of each pre-token's word, first pre-token of each text, first row, row after the last)."""
         if self.n >= self.known_limit:
@@ -257,19 +305,18 @@ class Encoder:
             miss = np.flatnonzero(known < 0)
             got, one = np.unique(h[miss], return_index=True)
             one = miss[one]
-            lens, heads = lengths[one], np.cumsum(lengths[one]) - lengths[one]
             new_hash.append(got)
-            new_len.append(lens)
-            new_bytes.append(own[np.arange(int(lens.sum())) + np.repeat(starts[one] - heads, lens)])
-            parts.append([known, h[miss], miss, first, a, b])
+            new_len.append(lengths[one])
+            new_bytes.append(_word_bytes(own, starts[one], lengths[one]))
+            parts.append((known, h[miss], miss, own, starts, lengths, first, a, b))
         got, one = np.unique(np.concatenate([np.zeros(0, np.uint64), *new_hash]), return_index=True)
         if len(got):
             lens, raw = np.concatenate(new_len), np.concatenate(new_bytes)
-            ids, counts = encode_words(raw, (np.cumsum(lens) - lens)[one], lens[one], self.ranks)
-            self._learn(got, ids, counts)
-        for p in parts:
-            p[0][p[2]] = self._find(p[1])
-        return [(known, first, a, b) for known, _, _, first, a, b in parts]
+            self._hold(got, self._learn(_word_bytes(raw, (np.cumsum(lens) - lens)[one], lens[one]), lens[one]))
+        for known, h, miss, own, starts, lengths, *_ in parts:
+            known[miss] = self._find(h)
+            self._settle(own, starts, lengths, known)
+        return [(known, first, a, b) for known, _, _, _, _, _, first, a, b in parts]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray):
         """(first row, row after the last, ids of the rows' texts end to end, where each text's ids start and end) by chunk."""

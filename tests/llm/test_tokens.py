@@ -62,6 +62,27 @@ def test_words_where_a_merge_makes_a_lower_pair():
     assert ids.tolist() == [256, 256, 258, 257, 257] and counts.tolist() == [2, 1, 2]
 
 
+def test_words_of_one_hash_stay_apart(monkeypatch):
+    """Thue-Morse words, which collide in every polynomial hash modulo a power of two; then five hashes for all words."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"{word} {other}", f"{other} {word}"]
+    assert ids_of(texts) == [library().encode_ordinary(t) for t in texts]
+    hashes = merge_replay.word_hashes
+    monkeypatch.setattr(merge_replay, "word_hashes", lambda *a: hashes(*a) % bytewords.np.uint64(5))
+    from skeinwork.llm.op7_bpe import _encoder
+
+    _encoder.cache_clear()
+    try:
+        mixed = [t or "" for t in ODD] + [f"word{i} wore{i}s" for i in range(300)]
+        for _ in range(2):
+            assert ids_of(mixed) == [library().encode_ordinary(t) for t in mixed]
+    finally:
+        _encoder.cache_clear()
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, "ab ab", "x"), (1, "ab ab", "x"), (2, None, None), (None, "", "y")], "doc_id bigint, text string, ids_ string")
     back = decode_texts(encode_texts(df, RANKS), RANKS)
