@@ -1,36 +1,16 @@
-"""Shared-folder tables that cut lineage, and small helpers used by every operator here."""
+"""Small helpers used by every operator here, on top of the library's staged tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import forget, fresh_path, shared_dir, stage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temp folder of ours only where unset on local[N]."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="skeinwork-")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["forget", "fresh_path", "join_counted", "parts_for", "read_table", "row_count", "shared_dir", "stage"]
 
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet into the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+HOT_SHARE = 10_000
+"""A key that holds more than one in so many rows is hot; there are fewer than this many hot keys."""
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +23,26 @@ def row_count(df: DataFrame) -> int:
 
 def parts_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows left joined with facts, which has one row a key and in ``n`` how many of the rows hold it.
+
+    Facts of hot keys, fewer than HOT_SHARE of them whatever the data, are broadcast, so that their rows stay where they
+    are; null keys meet nothing and stay as well; only the rest is shuffled. facts must be staged, it is read several times.
+    """
+    held = facts.agg(F.sum(n).alias("all"), F.max(n).alias("most")).first()
+    limit = max(1000, (held["all"] or 0) // HOT_SHARE)
+    is_hot = F.col(n) > limit
+    if (held["most"] or 0) <= limit:
+        hot = None
+        cold = rows.filter(F.col(key).isNotNull())
+    else:
+        hot = F.broadcast(facts.filter(is_hot))
+        cold = rows.filter(F.col(key).isNotNull()).join(F.broadcast(facts.filter(is_hot).select(key)), key, "left_anti")
+    out = cold.join(facts.filter(~is_hot), key, "left")
+    names = out.columns
+    if hot is not None:
+        out = out.unionByName(rows.join(hot, key).select(names))
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema if f.name != key]
+    return out.unionByName(rows.filter(F.col(key).isNull()).select("*", *blank).select(names))

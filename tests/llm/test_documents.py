@@ -8,11 +8,12 @@ import duckdb
 import pytest
 from conftest import SF
 
-from skeinwork.llm import op3_mixing
+from skeinwork.llm import op3_mixing, shingles
 from skeinwork.llm.op1_pii import luhn_digit, permute, pseudonymise, scrub
 from skeinwork.llm.op2_language import identify, keep_identified, learn
 from skeinwork.llm.op3_mixing import mix_rows, plan_mix
-from skeinwork.llm.op5_minhash_forest import candidates, exact_links, near_duplicates, shingle_sets, signatures
+from skeinwork.llm import op5_minhash_forest as M
+from skeinwork.llm.op5_minhash_forest import candidates, near_duplicates, signatures
 
 
 def test_permutations():
@@ -147,34 +148,122 @@ def test_near_duplicates_edges(spark):
     assert near_duplicates(df.filter("false")).count() == 0
 
 
-def test_crowded_regions_are_cut_deeper(spark):
-    words = [f"w{i}" for i in range(60)]
-    rows = [(i, " ".join(words[:40] + [f"x{i}"] + words[40:])) for i in range(60)]
-    signed = signatures(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    pairs, crowded = candidates(signed.selectExpr("doc_id as id", "sig"), region=6)
-    assert 0 < pairs.count() < 60 * 59 // 2 and pairs.filter("a >= b").count() == 0 and crowded.select("w").distinct().count() == 60
+def test_rows_of_one_document_that_differ(spark):
+    """5 has the texts of 9 and of 4, and links them."""
+    texts = ["a b c d e f g", "h i j k l m n"]
+    df = spark.createDataFrame([(5, texts[0]), (5, texts[1]), (9, texts[0]), (4, texts[1]), (2, "x"), (5, None)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(df).collect())
+    assert got == [(2, 1, 2), (4, 3, 4), (5, 0, 5), (5, 3, 4), (5, 3, 4), (9, 3, 4)]
 
 
-def test_exact_pass_over_crowded_regions(spark, monkeypatch):
-    """Pairs about the threshold among texts that share half of their words, in blocks of seven."""
-    from skeinwork.llm import op5_minhash_forest as M
+def test_shingles_of_colliding_words():
+    """Thue-Morse words, which collide in every polynomial hash modulo a power of two; and both hashes being needed."""
+    import numpy as np
+    import pyarrow as pa
+
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), word[:40], word[:41], None]
+    (_, _, one, two, at), *_ = shingles.column_sets(pa.array(texts))
+    assert at.tolist() == [0, 1, 2, 3, 4, 4] and len(set(one)) == len(set(two)) == 4
+    x, y = np.array([[1, 1, 5], [2, 3, 9]], np.uint64), np.array([[1, 5], [3, 8]], np.uint64)
+    assert shingles.common(x, y) == 1 and len(set(shingles.shingle_codes([x, y]).tolist())) == 4
+
+
+def _templates(n, seed=3):
+    """Texts of which half share one of five templates, filled in at random so that pairs lie on both sides of the threshold."""
+    rng = random.Random(seed)
+    common = [[f"t{k}x{i}" for i in range(40)] for k in range(5)]
+    rows = []
+    while len(rows) < n:
+        text = list(rng.choice(common)) if rng.random() < 0.5 else [f"u{rng.randrange(10**9)}" for _ in range(40)]
+        for _ in range(rng.randint(1, 4)):
+            text[rng.randrange(40)] = f"r{rng.randrange(10**9)}"
+        rows.append((len(rows), " ".join(text)))
+        if rng.random() < 0.2:
+            text[rng.randrange(40)] = "other"
+            rows.append((len(rows), " ".join(text)))
+    return rows[:n]
 
+
+def _truth(rows):
+    _, want = _brute(rows)
+    return want
+
+
+def test_forest_alone_finds_most_links(spark, monkeypatch):
+    """5,000 texts, half of them crowding in regions: what the sorted orders give without the exact pass, and with it."""
+    rows = _templates(5000)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = _truth(rows)
+    seen = {}
+    find = M.find_links
+    monkeypatch.setattr(M, "find_links", lambda *a: seen.setdefault("found", find(*a)))
+    monkeypatch.setattr(M, "forget", lambda *a: None)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(df).collect()} == want
+    forest, exact, _ = seen["found"]
+    low = {r["node"]: r["component"] for r in M.connected_components(forest).collect()}
+    nodes = {r["node"]: r["component"] for r in M.connected_components(forest.unionByName(exact)).collect()}
+    # a class counts as found where the forest alone brings it to the smallest class that it can reach
+    recall = sum(low.get(i) == r for i, r in nodes.items()) / len(nodes)
+    print("recall of the forest alone", recall, "links of the exact pass", exact.count())
+    assert recall >= 0.9
+
+
+def test_orders_give_a_bounded_number_of_neighbours():
+    """Every place meets its neighbours of longest prefix; a crowded region gives few candidates a row."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    path = np.array(sorted(map(tuple, np.concatenate([np.full((3000, 4), 7), rng.integers(0, 3, (3000, 20))], axis=1))), np.uint16)
+    tree = np.zeros(3000, np.int32)
+    i, j, _, size = M.order_neighbours(tree, path)
+    assert (size == 3000).all() and len(i) < 3000 * (M.NEAR + M.BESIDE)
+    assert {(k, k + 1) for k in range(2999)} <= set(zip(i.tolist(), j.tolist(), strict=True))
+    few = np.array(sorted(map(tuple, rng.integers(0, 2, (40, 24)))), np.uint16)
+    i, j, region, size = M.order_neighbours(np.zeros(40, np.int32), few)
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if (few[a, :4] == few[b, :4]).all() and size[a] <= M.NEAR}
+    assert want <= set(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_borders_between_partitions_lose_nothing(spark):
+    """The same candidates however many range partitions there are."""
+    rows = [(i, f"a b c d {i % 150} f g h i j k l m n o p q r s t u v {i // 150}") for i in range(400)]
+    classes = signatures(spark.createDataFrame(rows, "doc_id bigint, text string")).selectExpr("doc_id as cls", "sig").cache()
+    got = []
+    for parts in ("1", "7", "200"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            pairs, crowded = candidates(classes)
+            got.append(({tuple(r) for r in pairs.collect()}, {tuple(r) for r in crowded.collect()}))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    classes.unpersist()
+    assert got[0][0] and all(got[0][0] <= g[0] and got[0][1] == g[1] for g in got[1:])
+
+
+def test_exact_pass_over_crowded_regions(spark, monkeypatch):
+    """Pairs about the threshold among texts that share half of their words, in blocks of seven, with no help from the forest."""
     monkeypatch.setattr(M, "BLOCK", 7)
     rng = random.Random(3)
-    common = [f"c{i}" for i in range(30)]
+    shared = [f"c{i}" for i in range(30)]
     rows = []
     for g in range(12):
         own = [f"g{g}x{i}" for i in range(30)]
         for c in range(4):
-            text = common + own
+            text = shared + own
             for _ in range(c):
                 text = text[:]
                 text[30 + rng.randrange(30)] = f"r{rng.random()}"
             rows.append((len(rows), " ".join(text)))
-    sets_of = shingle_sets(spark.createDataFrame(rows, "id bigint, text string"), "id")
+    signed = signatures(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    classes = signed.selectExpr("doc_id as cls", "sig")
+    texts = signed.join(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id").selectExpr("doc_id as cls", "set_key", "text")
     _, want = _brute(rows)
-    chained = spark.createDataFrame([(i, 0) for i, _ in rows], "node bigint, component bigint")
-    links = exact_links(sets_of, chained, 75)
+    clusters = spark.createDataFrame([(i, i, 0) for i, _ in rows], "cls bigint, component bigint, cluster bigint")
+    links = M.exact_links(clusters, classes, M.shingle_sets(texts), 75)
     got = {r["node"]: r["component"] for r in M.connected_components(links).collect()}
     assert {i: got.get(i, i) for i in want} == want
 
