@@ -1,9 +1,15 @@
 """Operator 1: format-preserving pseudonyms for personal data.
 
 Card numbers (Luhn), IBANs (mod 97), social security numbers, telephone numbers, IPv4 addresses, calendar dates and
-e-mail addresses are found, validated, and permuted by a keyed Feistel network within their own format: a card stays a
-valid card of its brand and grouping, a date a date in the same notation. The permutation depends on the key, the kind
-and the value alone, so equal values get equal pseudonyms in every document, whatever their separators.
+e-mail addresses are found and validated, brought to one canonical value each, permuted by a keyed Feistel network within
+their format, and written back in the notation that they were found in: a card stays a valid card of its network and
+grouping, a date a date with its month's name in the same language. The permutation depends on the key, the kind and the
+canonical value alone, so equal values get equal pseudonyms in every document, whatever their separators or notation: a
+telephone number is its country calling code and the rest (ten-digit North American numbers have code 1), a date its day
+in the calendar. Days up to the twelfth stay among themselves, so that what could be read as day or month still can.
+
+The key comes from the session's configuration, KEY_NAME; a session without one makes its own at random and keeps it for
+as long as it lives, so pseudonyms can't be undone from the source, nor linked to those of another session.
 
 One pass over the rows, no shuffle. Null and empty texts stay as they are; texts without personal data are returned
 byte for byte; repeated rows get equal results; very long texts are whole; empty tables give empty tables; other
@@ -19,14 +25,24 @@ import functools
 import hashlib
 import math
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 ROUNDS = 8
-KEY = b"replace this key in production"
+KEY_NAME = "spark.skeinwork.pii.key"
+_made: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The configured key, or this application's own random one."""
+    given = spark.conf.get(KEY_NAME, None)
+    if given:
+        return hashlib.blake2b(given.encode(), digest_size=32).digest()
+    return _made.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 @functools.lru_cache(1 << 16)
@@ -70,12 +86,17 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+#: Issuer prefixes of card networks that are longer than one digit, by how many digits they have.
+NETWORKS = {2: {34, 37, 36, 38, 39, 62, 65, *range(51, 56)}, 3: {*range(300, 306), *range(644, 650)}, 4: {6011, *range(2221, 2721), *range(3528, 3590)}}
+
+
 def _card(s: str, key: bytes) -> str | None:
     d = _digits(s)
     if luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
         return None
-    n = len(d) - 2
-    body = d[0] + str(permute(int(d[1:-1]), 10**n, f"card{d[0]}", key)).zfill(n)
+    keep = next((n for n, known in NETWORKS.items() if int(d[:n]) in known), 1)
+    n = len(d) - 1 - keep
+    body = d[:keep] + str(permute(int(d[keep:-1]), 10**n, f"card{d[:keep]}", key)).zfill(n)
     return _refill(s, body + luhn_digit(body))
 
 
@@ -90,15 +111,21 @@ def _ssn(s: str, key: bytes) -> str | None:
     return f"{area:03}-{group + 1:02}-{serial + 1:04}"
 
 
+#: Country calling codes of two digits; 1 and 7 have one, all others three.
+CALLING = {20, 27, *range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98}
+
+
 def _phone(s: str, key: bytes) -> str | None:
     d = _digits(s)
     if not 7 <= len(d) <= 15:
         return None
     keep = 0
     if s[0] == "+":
-        keep = len(re.match(r"\+(\d{1,3}?)(?=\D)|\+(1|7|\d\d)", s).group().lstrip("+"))
-    rest = d[keep:]
-    return _refill(s, d[:keep] + str(permute(int(rest), 10 ** len(rest), f"phone{d[:keep]}", key)).zfill(len(rest)))
+        keep = 1 if d[0] in "17" else 2 if int(d[:2]) in CALLING else 3
+    code, rest = d[:keep] or "1", d[keep:]
+    trunk = len(rest) > 1 and "(0)" in s and rest[0] == "0"  # a trunk prefix shown in brackets is no part of the number
+    rest = rest[trunk:]
+    return _refill(s, d[:keep] + "0" * trunk + str(permute(int(rest), 10 ** len(rest), f"phone{code}", key)).zfill(len(rest)))
 
 
 def _ip(s: str, key: bytes) -> str | None:
@@ -111,20 +138,28 @@ def _iban_check(country: str, body: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02}"
 
 
+_RUN = 64
+
+
 def _chars(body: str, kind: str, key: bytes) -> str:
-    """Letters a-z and A-Z and digits of body permuted together, each within its own class; other characters stay."""
+    """Letters a-z and A-Z and digits of body permuted together, each within its own class; other characters stay.
+
+    The case of letters is part of the format, not of the value. More than _RUN of them are permuted run by run, each
+    run under a key that hangs on the ones before it.
+    """
     at = [(i, *(("a", 26) if "a" <= c <= "z" else ("A", 26) if "A" <= c <= "Z" else ("0", 10))) for i, c in enumerate(body) if c.isascii() and c.isalnum()]
-    if not at:
-        return body
-    # the case of letters is part of the format, not of the value
-    value, size = 0, 1
-    for i, base, n in at:
-        value, size = value * n + ord(body[i]) - ord(base), size * n
-    value = permute(value, size, f"{kind}{''.join('9' if n == 10 else 'a' for _, _, n in at)}", key)
-    out = list(body)
-    for i, base, n in reversed(at):
-        value, r = divmod(value, n)
-        out[i] = chr(ord(base) + r)
+    out, before = list(body), ""
+    for lo in range(0, len(at), _RUN):
+        value, size = 0, 1
+        for i, base, n in at[lo : lo + _RUN]:
+            value, size = value * n + ord(body[i]) - ord(base), size * n
+        shape = "".join("9" if n == 10 else "a" for _, _, n in at[lo : lo + _RUN])
+        was = str(value)
+        value = permute(value, size, f"{kind}{before}{shape}", key)
+        before = hashlib.blake2b(f"{before}|{shape}|{was}".encode(), digest_size=16).hexdigest()
+        for i, base, n in reversed(at[lo : lo + _RUN]):
+            value, r = divmod(value, n)
+            out[i] = chr(ord(base) + r)
     return "".join(out)
 
 
@@ -139,37 +174,70 @@ def _iban(s: str, key: bytes) -> str | None:
     return None
 
 
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-MONTHS = [m for m in calendar.month_name if m]
+FIRST_YEAR, LAST_YEAR = 1900, 2099
+#: Month names and their usual short forms by language.
+MONTHS = {
+    "en": ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"],
+    "de": ["Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"],
+    "fr": ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"],
+    "es": ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"],
+}
+SHORT = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
 def _valid(y: int, m: int, d: int) -> bool:
-    return 1900 <= y <= 2099 and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]
+    return FIRST_YEAR <= y <= LAST_YEAR and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]
+
+
+@functools.lru_cache(1)
+def _late_days() -> list[int]:
+    """How many days after a month's twelfth come before each month of the calendar, and in all."""
+    out = [0]
+    for m in range((LAST_YEAR - FIRST_YEAR + 1) * 12):
+        out.append(out[-1] + calendar.monthrange(FIRST_YEAR + m // 12, m % 12 + 1)[1] - 12)
+    return out
 
 
-def _other_day(y: int, m: int, d: int, key: bytes, late: bool = False) -> datetime.date:
-    """The date's pseudonym; late: among days after the twelfth only."""
-    at = datetime.date(y, m, d).toordinal() - FIRST_DAY
-    while True:
-        at = permute(at, LAST_DAY - FIRST_DAY + 1, "date", key)
-        day = datetime.date.fromordinal(FIRST_DAY + at)
-        if not late or day.day > 12:
-            return day
+def _other_day(y: int, m: int, d: int, key: bytes) -> datetime.date:
+    """The date's pseudonym: a day up to the twelfth if it is one, else a later one."""
+    month, late = (y - FIRST_YEAR) * 12 + m - 1, _late_days()
+    if d <= 12:
+        month, day = divmod(permute(month * 12 + d - 1, 12 * (len(late) - 1), "early", key), 12)
+        day += 1
+    else:
+        at = permute(late[month] + d - 13, late[-1], "late", key)
+        month = bisect.bisect_right(late, at) - 1
+        day = at - late[month] + 13
+    return datetime.date(FIRST_YEAR + month // 12, month % 12 + 1, day)
+
+
+def _month(name: str, said: str) -> tuple[int, list[str]]:
+    """(number, the names to answer with) of a month's name; said: which languages to try first, by what stands beside it."""
+    low = name.lower()
+    for lang in (["es", "de", "fr", "en"] if said == "de" else ["de", "en", "fr", "es"] if said == "." else ["en", "fr", "de", "es"]):
+        for i, m in enumerate(MONTHS[lang], 1):
+            if low == m.lower():
+                like = [x.upper() if name.isupper() else x.title() if name[0].isupper() else x.lower() for x in MONTHS[lang]]
+                return i, like
+    for i, m in enumerate(SHORT, 1):
+        if low == m.lower():
+            return i, [x.upper() if name.isupper() else x.lower() if name.islower() else x for x in SHORT]
+    return 0, []
 
 
 def _date(s: str, key: bytes) -> str | None:
-    parts = re.findall(r"\d+|[A-Za-z]+|[^\w]+", s)
-    a, s1, b, s2, c = parts
+    a, s1, b, s2, c = re.match(r"(\w+)(\W+(?:de )?)(\w+)(\W+(?:de )?)(\w+)", s).groups()
     two = lambda x, like: f"{x:02}" if like[0] == "0" or len(like) == 2 and x < 10 else str(x)
-    if a.isalpha() or b.isalpha():
-        name, day = (a, b) if a.isalpha() else (b, a)
-        month = next((i for i, m in enumerate(MONTHS, 1) if name.lower() in (m.lower(), m[:3].lower())), 0)
+    if not a.isdigit() or not b.isdigit():
+        first = not a.isdigit()
+        name, day = (a, b) if first else (b, a)
+        month, names = _month(name, "." if "." in s1 else "de" if "de" in s1 else "")
         if not _valid(int(c), month, int(day)):
             return None
         new = _other_day(int(c), month, int(day), key)
-        word = MONTHS[new.month - 1] if len(name) > 3 else MONTHS[new.month - 1][:3]
-        first, second = (word, two(new.day, day)) if a.isalpha() else (two(new.day, day), word)
-        return f"{first}{s1}{second}{s2}{new.year}"
+        word = names[new.month - 1]
+        one, other = (word, two(new.day, day)) if first else (two(new.day, day), word)
+        return f"{one}{s1}{other}{s2}{new.year}"
     if s1 != s2:
         return None
     if len(a) == 4:
@@ -181,39 +249,40 @@ def _date(s: str, key: bytes) -> str | None:
         new = _other_day(int(c), int(b), int(a), key)
         return f"{two(new.day, a)}{s1}{two(new.month, b)}{s2}{new.year}"
     if _valid(int(c), int(a), int(b)):
-        new = _other_day(int(c), int(a), int(b), key, late=True)
+        new = _other_day(int(c), int(a), int(b), key)
         return f"{two(new.month, a)}{s1}{two(new.day, b)}{s2}{new.year}"
     return None
 
 
-_MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+_MONTH = "(?:" + "|".join(sorted({m for names in [*MONTHS.values(), SHORT] for x in names for m in (x, x.lower(), x.title(), x.upper())}, key=lambda x: (-len(x), x))) + ")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 KINDS = {
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
-    "date": (rf"(?<![\w./-])(?:\d{{4}}-\d\d-\d\d|\d{{4}}/\d\d/\d\d|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{1,2}} {_MONTH} \d{{4}}|{_MONTH} \d{{1,2}},? \d{{4}})(?![\w/-]|\.\d)", _date),
+    "date": (rf"(?<![\w./-])(?:\d{{4}}-\d\d-\d\d|\d{{4}}/\d\d/\d\d|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{1,2}}\.? (?:de )?{_MONTH} (?:de )?\d{{4}}|{_MONTH} \d{{1,2}},? \d{{4}})(?![\w/-]|\.\d)", _date),
     "ipv4": (rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)", _ip),
     "card": (r"(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\w|\.\d)", _card),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     "phone": (r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|\+\d{1,3}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{1,4}(?:[ -]?\d{2,4}){1,5}(?!\w|\.\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-]|\.\d)", _phone),
 }
 _EACH = [(k, re.compile(p), f) for k, (p, f) in KINDS.items()]
-_LOCAL = re.compile(r"[\w.+%-]{1,64}\Z")
-_DOMAIN = re.compile(r"(?:\w(?:[\w-]{0,61}\w)?\.){1,8}[A-Za-z]{2,24}(?![\w-])")
+_DOMAIN = re.compile(r"(?:\w(?:[\w-]*\w)?\.)+[A-Za-z]{2,24}(?![\w-])")
 _DIGIT = re.compile(r"\d")
 
 
 def _emails(text: str, key: bytes) -> Iterator[tuple[int, int, str, str]]:
     at = text.find("@")
     while at >= 0:
-        local, domain = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-        if local and domain and (user := local.group().lstrip(".-+%")):
-            host, _, last = domain.group().rpartition(".")
-            new = _chars(f"{user}@{host}", "mail", key)
-            yield at - len(user), domain.end(), "email", f"{new}.{last}"
+        if domain := _DOMAIN.match(text, at + 1):
+            start = at
+            while start and ((c := text[start - 1]).isalnum() or c in "_.+%-"):
+                start -= 1
+            if user := text[start:at].lstrip(".-+%"):
+                host, _, last = domain.group().rpartition(".")
+                yield at - len(user), domain.end(), "email", f"{_chars(f'{user}@{host}', 'mail', key)}.{last}"
         at = text.find("@", at + 1)
 
 
-def find(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
+def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the personal data in a text, in order, none overlapping; earlier kinds win."""
     spans = list(_emails(text, key))
     if _DIGIT.search(text):
@@ -234,7 +303,7 @@ def find(text: str, key: bytes = KEY) -> list[tuple[int, int, str, str]]:
     return sorted(out)
 
 
-def scrub(text: str, key: bytes = KEY) -> tuple[str, list[str]]:
+def scrub(text: str, key: bytes) -> tuple[str, list[str]]:
     """(text with pseudonyms, kinds found in order)."""
     spans = find(text, key)
     if not spans:
@@ -246,8 +315,9 @@ def scrub(text: str, key: bytes = KEY) -> tuple[str, list[str]]:
     return "".join([*parts, text[at:]]), [x[2] for x in spans]
 
 
-def pseudonymise(df: DataFrame, key: bytes = KEY, text: str = "text", found: str | None = None) -> DataFrame:
-    """df with its text column scrubbed; found: name of a new last column (array<string>) with the kinds replaced."""
+def pseudonymise(df: DataFrame, key: bytes | None = None, text: str = "text", found: str | None = None) -> DataFrame:
+    """df with its text column scrubbed; found: name of a new last column (array<string>) with the kinds replaced. key: the session's if none is given."""
+    key = key or session_key(df.sparkSession)
     if found in df.columns:
         raise ValueError(f"df has a column {found}")
     fields = [*df.schema.fields, *([T.StructField(found, T.ArrayType(T.StringType()))] if found else [])]
