@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from .html_blocks import Block, leaf_blocks
+from .html_blocks import Block, Node, leaf_blocks
 from .html_samples import MARK, sample_pages
 
 #: Words in text that speak for notices, menus and the like.
@@ -15,20 +15,34 @@ CUES = "cookie cookies consent privacy subscribe newsletter advertisement sponso
 _CUE = re.compile(rf"\b(?:{'|'.join(CUES)})\b", re.I)
 
 
-@functools.lru_cache(1 << 15)
-def _context_features(context: tuple) -> tuple[str, ...]:
-    tags = [t for t, _ in context]
-    words = [w for _, ws in context for w in ws]
-    near = next((ws for _, ws in reversed(context) if ws), ())
-    last = tags[-1] if tags else "none"
-    return tuple(dict.fromkeys([f"tag={last}", *(f"in={t}" for t in tags), *(f"word={w}" for w in words), *(f"near={w}" for w in near), *(f"pair={t}.{w}" for t, ws in context for w in ws)]))
+def _own_names(node: Node) -> list[str]:
+    return [f"in={node.tag}", *(f"word={w}" for w in node.words), *(f"pair={node.tag}.{w}" for w in node.words)]
+
+
+def _above(node: Node | None, slot: str, start, step):
+    """What hangs on a node and all around it, worked out from the outside in and kept at each node."""
+    path = []
+    while node is not None and getattr(node, slot) is None:
+        path.append(node)
+        node = node.parent
+    held = start if node is None else getattr(node, slot)
+    for node in reversed(path):
+        held = step(held, node)
+        setattr(node, slot, held)
+    return held
+
+
+def _context_names(node: Node | None) -> set[str]:
+    """The names of a block's features that come from the elements around it."""
+    around = _above(node, "names", frozenset(), lambda held, x: held.union(_own_names(x)))
+    return {*around, f"tag={node.tag if node else 'none'}", *(f"near={w}" for w in (node.near if node else ()))}
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
-    """The feature names of each block."""
+    """The names of each block's features but for those of the elements around it."""
     out = []
     n = len(blocks)
-    for i, (text, context, linked) in enumerate(blocks):
+    for i, (text, _, linked) in enumerate(blocks):
         size = len(text)
         words = text.count(" ") + 1
         own = ["bias", f"words={min(6, words.bit_length())}", f"linked={min(4, 4 * linked // max(size, 1))}", f"place={4 * i // n}"]
@@ -40,7 +54,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
             own.append("comma")
         if words < 30:
             own += [f"cue={c.lower()}" for c in _CUE.findall(text)]
-        out.append([*own, *_context_features(context)])
+        out.append(own)
     return out
 
 
@@ -52,8 +66,19 @@ class Crf:
         self.emit, self.move = np.zeros((len(names), 2)), np.zeros((2, 2))
 
     def rows(self, blocks: list[Block]) -> list[list[int]]:
+        """The numbers of each block's features that the model knows; of the elements around a block there are as many at most."""
         get = self.index.get
-        return [[i for f in fs if (i := get(f)) is not None] for fs in features(blocks)]
+
+        def more(held: frozenset, node: Node) -> frozenset:
+            new = {i for f in _own_names(node) if (i := get(f)) is not None}
+            return held if new <= held else held | new
+
+        out = []
+        for (_, node, _), own in zip(blocks, features(blocks), strict=True):
+            around = _above(node, "known", frozenset(), more)
+            here = [f"tag={node.tag if node else 'none'}", *(f"near={w}" for w in (node.near if node else ()))]
+            out.append([*(i for f in (*own, *here) if (i := get(f)) is not None), *sorted(around)])
+        return out
 
     def scores(self, rows: list[list[int]]) -> np.ndarray:
         flat = np.array([i for r in rows for i in r], np.int64)
@@ -120,7 +145,7 @@ def trained(pages: int = 500, seed: int = 10) -> Crf:
         blocks = leaf_blocks(page)
         gold = np.array([int(MARK in b.text) for b in blocks])
         read.append(([Block(b.text.replace(MARK, ""), b.context, b.linked) for b in blocks], gold))
-    names = sorted({f for blocks, _ in read for fs in features(blocks) for f in fs})
+    names = sorted({f for blocks, _ in read for fs, b in zip(features(blocks), blocks, strict=True) for f in (*fs, *_context_names(b.context))})
     model = Crf(names)
     model.learn([(model.rows(blocks), gold) for blocks, gold in read])
     return model
