@@ -9,7 +9,8 @@ language beyond the first must raise the log likelihood by more than PENALTY * l
 The label is the set's largest language, the score its proportion; null texts and texts without letters get ``und`` and
 score 0, as all do if there is nothing to learn from. Rows with a null key train nothing and are never held out.
 Repeated rows get equal results; ties go to the first language by code point; very long texts are whole; empty tables
-give empty tables; other columns are ignored.
+give empty tables; other columns are ignored. The labels are taken to be languages: the driver and every task hold the model, which
+is at most MODEL_CELLS numbers; with more than 512 languages it has fewer buckets each, with none left out.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from pyspark.sql import types as T
 from .bytewords import char_classes, chunks, code_points, utf8_view
 
 BUCKETS = 1 << 16
+MODEL_CELLS = 1 << 25
 SMOOTH = 0.5
 PENALTY = 3.0
 STEPS = 40
-MAX_LANGUAGES = 512
 TRAIN_ROWS = 20_000
 """About so many labelled rows of each language are learned from, chosen by a hash of the key."""
 UNKNOWN = "und"
@@ -93,17 +94,17 @@ def held_out(key: str) -> Column:
 def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [bucket, language]) from labelled rows that aren't held out, about ``rows`` of each language."""
     labelled = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     names = sorted(sizes)
     if not names:
         return [], np.zeros((BUCKETS, 0), np.float32)
     share = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, rows / sizes[n]))]), F.col("lang"))
     drawn = F.crc32(F.concat(F.lit("train:"), F.col("k").cast("string"))) / float(1 << 32) < share
-    table = _counts(labelled.filter(drawn).select("text", "lang")).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.full((BUCKETS, len(names)), SMOOTH)
-    out[table["bucket"].to_numpy(), [names.index(x) for x in table["lang"]]] += table["n"].to_numpy()
+    narrow = max(0, (len(names) * BUCKETS // MODEL_CELLS).bit_length() - (len(names) * BUCKETS <= MODEL_CELLS))
+    table = _counts(labelled.filter(drawn).select("text", "lang")).groupBy("lang", F.shiftright("bucket", narrow).alias("bucket")).agg(F.sum("n").alias("n")).toPandas()  # at most MODEL_CELLS rows
+    out = np.full((BUCKETS >> narrow, len(names)), SMOOTH)
+    at = {x: i for i, x in enumerate(names)}
+    out[table["bucket"].to_numpy(), [at[x] for x in table["lang"]]] += table["n"].to_numpy()
     return names, np.log(out / out.sum(axis=0)).astype(np.float32)
 
 
@@ -140,7 +141,7 @@ def mixtures(logp: np.ndarray, words_at: np.ndarray, buckets: np.ndarray, first:
     some = np.flatnonzero(np.diff(first))
     if not len(some) or not k:
         return out
-    own = np.add.reduceat(logp[buckets], words_at, axis=0)
+    own = np.add.reduceat(logp[buckets // (BUCKETS // len(logp))], words_at, axis=0)
     own -= own.max(axis=1, keepdims=True)
     at = np.concatenate([first[some], first[-1:]])
     n = np.diff(at)
