@@ -23,16 +23,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near-duplicates; of rows with one doc_id, one.
+    """Keeps the document of the smallest doc_id of each group of near-duplicates; of rows with one doc_id, one, the same each time.
 
     Documents without a doc_id stay. Texts move once, to meet the list of documents that go.
     """
     found = stage(near_duplicates(docs), "near-duplicates")
-    gone = found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    gone = found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(name), "left_anti")
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(name))
     if repeated.limit(1).collect():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+        every = F.struct(*[F.col(c) for c in docs.columns])
+        several = kept.join(repeated, F.col("doc_id") == F.col(name), "left_semi")
+        chosen = several.groupBy("doc_id").agg(F.min_by(every, F.sha2(F.to_json(every), 256)).alias("row")).select("row.*")
+        kept = kept.join(repeated, F.col("doc_id") == F.col(name), "left_anti").unionByName(chosen.select(docs.columns))
     return kept
 
 
