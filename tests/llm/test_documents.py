@@ -9,7 +9,7 @@ import pytest
 from conftest import SF
 
 from skeinwork.llm import op3_mixing, shingles
-from skeinwork.llm.op1_pii import luhn_digit, permute, pseudonymise, scrub
+from skeinwork.llm.op1_pii import KEY_NAME, MONTHS, SHORT, find, luhn_digit, permute, pseudonymise, scrub
 from skeinwork.llm.op2_language import identify, keep_identified, learn
 from skeinwork.llm.op3_mixing import mix_rows, plan_mix
 from skeinwork.llm import op5_minhash_forest as M
@@ -22,17 +22,96 @@ def test_permutations():
     assert permute(5, 1000, "t", b"k") != permute(5, 1000, "t", b"other") or permute(6, 1000, "t", b"k") != permute(6, 1000, "t", b"other")
 
 
+K = b"test key"
+
+
 def test_pseudonyms_keep_their_format():
     text = "card 4041894974608795 or 4041-8949-7460-8795, +1 (017) 555-7713 190.137.223.204; 2024-02-29 12.03.1990 ssn 123-45-6789 DE89 3704 0044 0532 0130 00 mail und.34@mail7.example.com."
-    new, kinds = scrub(text)
+    new, kinds = scrub(text, K)
     assert sorted(kinds) == sorted(["card", "card", "phone", "ipv4", "date", "date", "ssn", "iban", "email"])
     a, b = re.search(r"card (\d{16}) or ([\d-]{19}),", new).groups()
     assert a == b.replace("-", "") and luhn_digit(a[:-1]) == a[-1] and a != "4041894974608795"
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} ", new) and not any(x in new for x in ("555-7713", "190.137.223.204", "2024-02-29", "123-45-6789", "und.34@", "3704 0044"))
-    again, _ = scrub("x 4041 8949 7460 8795")
+    again, _ = scrub("x 4041 8949 7460 8795", K)
     assert again[2:].replace(" ", "") == a  # linked whatever the grouping
     for clean in ("CC BY-NC 4.0. version 3.", "4041894974608796", "1990-02-30", "000-12-3456", "999.1.1.1", "a@b", "GB00WEST12345698765432", ""):
-        assert scrub(clean) == (clean, [])
+        assert scrub(clean, K) == (clean, [])
+
+
+def test_equal_values_are_linked_in_every_notation():
+    digits = lambda t: re.sub(r"\D", "", scrub(t, K)[0])
+    for numbers in (("+353 1 234 5678", "+35312345678", "+353-1-234-5678"), ("+49 (0)30 1234 5678", "+49 (0) 30 12345678"), ("+1 (212) 555-0123", "+12125550123", "+1-212-555-0123")):
+        assert len({digits(n) for n in numbers}) == 1 and digits(numbers[0]) != re.sub(r"\D", "", numbers[0]), numbers
+    assert digits("call (212) 555-0123") == digits("call 212-555-0123") == digits("+1 212 555 0123")[1:]
+    days = set()
+    for text in ("1990-12-25", "1990/12/25", "25.12.1990", "25/12/1990", "12/25/1990", "25 December 1990", "December 25, 1990", "Dec 25, 1990", "25. Dezember 1990", "25 décembre 1990", "25 de diciembre de 1990"):
+        new, kinds = scrub(text, K)
+        assert kinds == ["date"] and new != text and len(re.findall(r"\D+", new)) == len(re.findall(r"\D+", text)), text
+        n = [int(x) for x in re.findall(r"\d+", new)]
+        year = max(n)
+        words = re.findall(r"[^\W\d]{3,}", new)
+        names = [m.lower() for lang in MONTHS.values() for m in lang]
+        month = ([names.index(w.lower()) % 12 + 1 for w in words if w.lower() in names] + [SHORT.index(w) + 1 for w in words if w in SHORT] or [next(x for x in n if x <= 12)])[0]
+        day = next(x for x in n if x > 12 and x != year)
+        days.add((year, month, day))
+    assert len(days) == 1
+    assert scrub("3 März 1999", K)[0].split()[1] in MONTHS["de"] and scrub("on 3 mars 1999", K)[0].split()[2] in MONTHS["fr"]
+
+
+def test_dates_are_permuted_one_to_one():
+    import datetime
+
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(i) for i in range(73049)][::7]
+    new = [scrub(d.isoformat(), K)[0] for d in days]
+    assert len(set(new)) == len(days)
+    assert all((datetime.date.fromisoformat(n).day <= 12) == (d.day <= 12) for n, d in zip(new, days, strict=True))
+
+
+def test_cards_keep_their_network():
+    rng = random.Random(1)
+    for prefix, size in (("37", 15), ("34", 15), ("4", 16), ("51", 16), ("2221", 16), ("6011", 16), ("3528", 16), ("36", 14), ("300", 14), ("62", 16)):
+        for _ in range(20):
+            body = prefix + "".join(rng.choices("0123456789", k=size - len(prefix) - 1))
+            new, kinds = scrub(body + luhn_digit(body), K)
+            assert kinds == ["card"] and new.startswith(prefix) and len(new) == size and luhn_digit(new[:-1]) == new[-1]
+
+
+def test_long_addresses_leave_nothing_in_clear():
+    user, host = "a1" * 60 + "secret" + "b" * 90_000, ".".join(["dept"] * 30)
+    new, kinds = scrub(f"to {user}@{host}.org now", K)
+    assert kinds == ["email"] and new.startswith("to ") and new.endswith(".org now") and "secret" not in new and "dept" not in new and len(new) == len(f"to {user}@{host}.org now")
+
+
+def test_finder_against_brute_force():
+    """Every substring of short texts that is such a number by itself, with no digit, word or dot beside it."""
+    rng = random.Random(2)
+    octet = lambda x: x.isdigit() and str(int(x)) == x and int(x) < 256
+    ip = lambda x: x.count(".") == 3 and all(octet(p) for p in x.split("."))
+    ssn = lambda x: bool(re.fullmatch(r"\d{3}-\d\d-\d{4}", x)) and 1 <= int(x[:3]) <= 899 and x[:3] != "666" and x[4:6] != "00" and x[7:] != "0000"
+    for _ in range(400):
+        text = " ".join(rng.choice(["1.2.3.4", "256.1.1.1", "10.20.30.40", "001-22-3333", "666-22-3333", "123-45-6789", "123-00-6789", "x9", "7", "1.2.3", "a.b"]) + rng.choice(["", ".", ",", ";", "-", "x", ".5"]) for _ in range(rng.randint(0, 6)))
+        want = set()
+        for i in range(len(text)):
+            for j in range(i + 7, min(len(text), i + 15) + 1):
+                before, after = text[i - 1 : i], text[j : j + 1]
+                beside = lambda c: c.isalnum() or c == "_"
+                if ip(text[i:j]) and not beside(before) and before != "." and not beside(after) and not (after == "." and text[j + 1 : j + 2].isdigit()):
+                    want.add((i, j, "ipv4"))
+                if ssn(text[i:j]) and not beside(before) and before != "-" and not beside(after) and after != "-":
+                    want.add((i, j, "ssn"))
+        assert {x[:3] for x in find(text, K) if x[2] in ("ipv4", "ssn")} == want, text
+
+
+def test_keys(spark):
+    df = spark.createDataFrame([(1, "ip 10.1.2.3")], "doc_id bigint, text string")
+    own = pseudonymise(df).first()["text"]
+    assert own == pseudonymise(df).first()["text"] != "ip 10.1.2.3"
+    spark.conf.set(KEY_NAME, "one")
+    try:
+        one = pseudonymise(df).first()["text"]
+        assert one == pseudonymise(df).first()["text"] != own
+    finally:
+        spark.conf.unset(KEY_NAME)
 
 
 def test_pseudonymise_frames(spark):
@@ -69,6 +148,67 @@ def test_language_mixtures_and_edges(spark):
     assert {r["lang_pred"] for r in predict(odd, nothing).collect()} == {"und"}
 
 
+def test_mixtures_against_plain_em():
+    """Proportions and chosen sets as by loops over words and languages, on random likelihoods."""
+    import math
+
+    import numpy as np
+
+    from skeinwork.llm.op2_language import BUCKETS, PENALTY, STEPS, mixtures
+
+    rng = np.random.default_rng(8)
+    logp = np.log(rng.dirichlet(np.full(BUCKETS, 0.02), 3).T + 1e-7).astype(np.float32)
+    first, buckets, words_at, texts = [0], [], [], []
+    for _ in range(12):
+        words = [rng.choice(BUCKETS, rng.integers(1, 5), p=(p := np.exp(logp[:, rng.integers(3)].astype(float))) / p.sum()).tolist() for _ in range(rng.integers(1, 30))]
+        for w in words:
+            words_at.append(len(buckets))
+            buckets += w
+        first.append(len(words_at))
+        texts.append(words)
+    got = mixtures(logp, np.array(words_at), np.array(buckets), np.array(first))
+
+    def em(like, langs):
+        share = {k: 1 / len(langs) for k in langs}
+        for _ in range(STEPS):
+            new, total = dict.fromkeys(langs, 0.0), 0.0
+            for w in like:
+                mix = sum(share[k] * math.exp(w[k] - max(w)) for k in langs)
+                total += math.log(mix) + max(w)
+                for k in langs:
+                    new[k] += share[k] * math.exp(w[k] - max(w)) / mix / len(like)
+            moved = max(abs(new[k] - share[k]) for k in langs)
+            share = new
+            if moved <= 2e-3:
+                break
+        return share, total
+
+    for words, row in zip(texts, got, strict=True):
+        like = [[float(sum(logp[b, k] for b in w)) for k in range(3)] for w in words]
+        share, _ = em(like, [0, 1, 2])
+        order = sorted(range(3), key=lambda k: (-share[k], k))
+        single = max(range(3), key=lambda k: sum(w[k] for w in like))
+        best, value = {single: 1.0}, sum(w[single] for w in like)
+        for m in (2, 3):
+            s, total = em(like, sorted(order[:m]))
+            if total - PENALTY * math.log(1 + len(words)) * (m - 1) > value:
+                best, value = s, total - PENALTY * math.log(1 + len(words)) * (m - 1)
+        assert {k for k in range(3) if row[k] > 0} == {k for k, p in best.items() if p > 0}
+        assert all(abs(row[k] - p) < 0.02 for k, p in best.items())
+
+
+def test_many_languages(spark):
+    """More labels than the full table holds: fewer buckets each, none left out."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 20, f"l{i:03}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    names, logp = learn(df)
+    assert len(names) > 400 and logp.size <= 1 << 25
+    long = spark.createDataFrame([(1, "ab cd " * 60_000)], "doc_id bigint, text string")
+    from skeinwork.llm.op2_language import predict
+
+    assert predict(long, (names, logp)).first()["lang_pred"] in names
+
+
 def test_mix_agrees_with_sql(spark, same_rows):
     same_rows(plan_mix(spark.read.parquet(f"{SF}/documents.parquet")), op3_mixing.ORACLE_SQL)
 
@@ -86,6 +226,8 @@ def test_mix_edges(spark):
     assert sum(r["taken"] for r in big) == pytest.approx(big[0]["target"], rel=0.1)
     mixed = mix_rows(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r["copies"] for r in every)
+    long = plan_mix(spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "w", "a")], "doc_id bigint, text string, source string")).collect()
+    assert {r["doc_id"]: r["size"] for r in long} == {1: 300_000, 2: 1}
     assert plan_mix(df.filter("false")).count() == 0 and mix_rows(df.filter("false")).count() == 0
 
 
@@ -279,6 +421,13 @@ def test_pipeline(spark):
     for name, step in corpus_pipeline.STAGES[:-1]:
         empty = step(spark, docs.filter("false"), SF)
         assert empty.columns == docs.columns and empty.count() == 0, name
+    odd = docs.limit(20).unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None), (900001, "", None, "s", None), (900002, "the word " * 60_000, "en", None, 1)], docs.schema)).selectExpr("*", "1 as gone", "'x' as n_tokens", "2 as source_size", "3 as copies")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        got = step(spark, odd, SF)
+        assert got.columns == odd.columns and got.count() > 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == odd.count()
+    twice = [sorted(map(str, corpus_pipeline.STAGES[1][1](spark, odd, SF).collect())) for _ in range(2)]
+    assert twice[0] == twice[1]
     first = corpus_pipeline.STAGES[0][1](spark, docs, SF)
     kept = corpus_pipeline.STAGES[1][1](spark, docs.unionByName(docs.limit(5)), SF)
     assert first.count() >= 0.98 * docs.count() and kept.count() == kept.select("doc_id").distinct().count()
