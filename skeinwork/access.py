@@ -36,7 +36,7 @@ class AccessController:
     def require(self, who: str | RoleContext, table: str, permission: str) -> None:
         if not self.check_permission(who, table, permission):
             role = who.role if isinstance(who, RoleContext) else who
-            raise PermissionError(f"Permission denied: role '{role}' does not have '{permission.upper()}' on '{table}'")
+            raise PermissionError(f"{role} may not {permission.upper()} on {table}")
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def require_role(role: str):
         @functools.wraps(f)
         def run(*args, context: RoleContext, **kwargs):
             if not context.at_least(role):
-                raise PermissionError(f"Permission denied: role '{context.role}' is below '{role}'")
+                raise PermissionError(f"{context.role} is below {role}")
             return f(*args, context=context, **kwargs)
 
         return run

@@ -1,6 +1,8 @@
-"""SQL facade: role checks, KNN clauses, DML on snapshot tables, transactions, a cursor and a client.
+"""SQL facade: role checks, KNN clauses, DML on snapshot tables, indexes, transactions, a cursor and a client.
 
-Only KNN and DML are rewritten; every other statement goes to Spark as it is.
+Only KNN and DML are rewritten; queries go to Spark as they are. A statement is let through by its kind, and a query by
+its parsed plan: every relation in it, subqueries and CTEs included, must be a table of the engine that the role may
+read. Paths as relations, other views and catalogs, and functions that reach into the JVM are refused.
 """
 
 from __future__ import annotations
@@ -14,15 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .access import AccessController
-from .operators.vectors import embed, knn
+from .operators.index import SearchIndex
+from .operators.vectors import CellIndex, embed, knn, register_functions
 from .sources.snapshots import SnapshotTable
-from .sources.staging import shared_dir
+from .sources.staging import shared_dir, stage
 
 CATEGORIES = {
     "DDL": {"CREATE", "DROP", "ALTER"}, "DQL": {"SELECT", "WITH"}, "DML": {"INSERT", "UPDATE", "DELETE"},
     "DCL": {"GRANT", "REVOKE"}, "TCL": {"BEGIN", "COMMIT", "ROLLBACK", "SAVEPOINT"},
 }
 _KNN = re.compile(r"\bKNN\s*\(\s*(\w+)\s*,\s*(\[[^\]]*\]|'[^']*')\s*,\s*(\d+)\s*\)", re.I)
+_REFUSED = {"reflect", "java_method", "try_reflect"}
+_SUBQUERIES = {"ScalarSubquery", "ListQuery", "Exists", "LateralSubquery", "FunctionTableSubqueryArgumentExpression", "DynamicPruningSubquery"}
 _TYPES = {"VARCHAR": "string", "TEXT": "string", "INT": "int", "INTEGER": "int", "FLOAT": "double", "JSON": "string", "VECTOR": "array<float>", "BOOLEAN": "boolean", "BIGINT": "bigint", "DOUBLE": "double"}
 
 
@@ -50,6 +55,41 @@ class Engine:
         self.tables: dict[str, SnapshotTable] = {}
         self._open: dict[str, DataFrame] | None = None
         self._saved: dict[str, dict[str, DataFrame]] = {}
+        self.indexes: dict[str, dict[str, Any]] = {}
+        self._handlers = {k: getattr(self, f"_{k.lower()}") for k in ("CREATE", "DROP", "INSERT", "UPDATE", "DELETE", "GRANT", "REVOKE", "BEGIN", "COMMIT", "ROLLBACK", "SAVEPOINT")}
+        register_functions(spark)
+
+    def _guard(self, statement: str, role: str, args: list | None = None) -> None:
+        """Raise unless every relation that a query names, wherever it stands, is a table of ours that the role may read."""
+        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+        seq = lambda s: [s.apply(i) for i in range(s.size())]
+        ctes: set[str] = set()
+        met: list[list[str]] = []
+        open_, known = [plan], {n.lower(): n for n in self.tables}
+        while open_:
+            node = open_.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "UnresolvedRelation":
+                met.append(seq(node.multipartIdentifier()))
+            elif kind == "UnresolvedWith":
+                for pair in seq(node.cteRelations()):
+                    ctes.add(pair._1().lower())
+                    open_.append(pair._2())
+            elif kind == "UnresolvedFunction" and seq(node.nameParts())[-1].lower() in _REFUSED:
+                raise PermissionError("that function can't be used here")
+            elif kind in _SUBQUERIES:
+                open_.append(node.plan())
+            open_ += seq(node.children())
+            if hasattr(node, "innerChildren") and not kind.startswith("Unresolved"):
+                open_ += [x for x in seq(node.innerChildren()) if "plans" in x.getClass().getName()]
+            if "plans" in node.getClass().getName():
+                open_ += seq(node.expressions())
+        for parts in met:
+            name = parts[0].lower()
+            if len(parts) == 1 and name in known:
+                self.access.require(role, known[name], "SELECT")
+            elif len(parts) > 1 or name not in ctes:
+                raise PermissionError(f"no table {'.'.join(parts)} here")
 
     def attach(self, name: str, df: DataFrame) -> None:
         """Make df the first snapshot of a new table."""
@@ -67,23 +107,36 @@ class Engine:
         else:
             self.tables[name].write(df)
         self.table(name).createOrReplaceTempView(name)
+        self._stale(name)
+
+    def _stale(self, table: str) -> None:
+        for held in self.indexes.values():
+            if held["table"] == table:
+                held["made"] = None
 
     def sql(self, statement: str, role: str = "admin", args: list | None = None) -> Result:
         text = statement.strip().rstrip(";")
-        kind = text.split(None, 1)[0].upper()
+        kind = text.split(None, 1)[0].upper() if text else ""
         if kind == "EXPLAIN":
-            lines = self.spark.sql(text).first()[0].splitlines()
+            inner = re.sub(r"^EXPLAIN\s+(QUERY\s+PLAN\s+(FOR\s+)?|EXTENDED\s+|FORMATTED\s+|COST\s+|CODEGEN\s+)?", "", text, flags=re.I)
+            if inner.split(None, 1)[0].upper() not in ("SELECT", "WITH", "VALUES"):
+                raise PermissionError("only queries can be explained")
+            self._guard(inner, role)
+            mode = re.match(r"EXPLAIN\s+(EXTENDED|FORMATTED|COST|CODEGEN)?", text, re.I)[1] or ""
+            lines = self.spark.sql(f"EXPLAIN {mode} {inner}", args=args or []).first()[0].splitlines()
             return Result("ok", len(lines), [{"addr": i, "step": x} for i, x in enumerate(lines)])
-        handler = getattr(self, f"_{kind.lower()}", None)
-        if handler and kind != "SELECT" and kind != "WITH":
-            return handler(text, role, args or [])
-        return self._query(text, role, args or [])
+        if kind in self._handlers:
+            return self._handlers[kind](text, role, args or [])
+        if re.fullmatch(r"SHOW\s+TABLES", text, re.I):
+            names = sorted(n for n in self.tables if self.access.check_permission(role, n, "SELECT"))
+            return Result("ok", len(names), [{"name": n} for n in names])
+        if kind in ("SELECT", "WITH", "VALUES"):
+            return self._query(text, role, args or [])
+        raise PermissionError(f"{kind or 'an empty statement'} is not allowed here")
 
     def frame(self, statement: str, role: str = "admin", args: list | None = None) -> DataFrame:
         """A query's DataFrame; role checks come before analysis."""
-        for name in self.tables:
-            if re.search(rf"\b{re.escape(name)}\b", statement, re.I):
-                self.access.require(role, name, "SELECT")
+        self._guard(_KNN.sub("true", statement), role)
         if not (m := _KNN.search(statement)):
             return self.spark.sql(statement, args=args or [])
         column, query, k = m[1], m[2], int(m[3])
@@ -105,9 +158,11 @@ class Engine:
         return Result("ok", len(rows), rows)
 
     def _create(self, text: str, role: str, args: list) -> Result:
+        if m := re.match(r"CREATE\s+INDEX\s+(IF\s+NOT\s+EXISTS\s+)?(\w+)\s+ON\s+(\w+)\s*(?:USING\s+(\w+)\s*)?\(\s*(\w+)\s*\)(?:\s+USING\s+(\w+))?$", text, re.I):
+            return self._create_index(m[2], m[3], (m[4] or m[6] or "BTREE").upper(), m[5], role, bool(m[1]))
         m = re.match(r"CREATE\s+TABLE\s+(IF\s+NOT\s+EXISTS\s+)?(\w+)\s*\((.*)\)$", text, re.I | re.S)
         if not m:
-            return Result("ok")  # indexes: Parquet statistics stand in for them
+            raise PermissionError("only tables and indexes can be created")
         self.access.require(role, m[2], "CREATE")
         if m[2] in self.tables:
             if m[1]:
@@ -118,11 +173,48 @@ class Engine:
         self.attach(m[2], self.spark.createDataFrame([], schema))
         return Result("ok")
 
+    def _create_index(self, name: str, table: str, kind: str, column: str, role: str, if_missing: bool) -> Result:
+        self.access.require(role, table, "CREATE")
+        if name in self.indexes:
+            if if_missing:
+                return Result("ok")
+            raise ValueError(f"index {name} exists")
+        if kind not in ("INVERTED", "HNSW", "BTREE"):
+            raise ValueError(f"no index kind {kind}")
+        if column not in self.table(table).columns:
+            raise KeyError(f"no column {column}")
+        self.indexes[name] = {"table": table, "kind": kind, "column": column, "made": None}
+        self.index(name, role)
+        return Result("ok")
+
+    def index(self, name: str, role: str = "admin") -> SearchIndex | CellIndex | DataFrame:
+        """An index, made anew if its table changed since: INVERTED gives the stored postings, HNSW the cells of an
+        approximate vector index, BTREE a copy of the table in order of the column, whose scans skip by its statistics."""
+        held = self.indexes[name]
+        self.access.require(role, held["table"], "SELECT")
+        if held["made"] is None:
+            rows, column = self.table(held["table"]), held["column"]
+            if held["kind"] == "INVERTED":
+                held["made"] = SearchIndex.build(rows, f"{self.root}/index-{name}-{uuid.uuid4().hex}", rows.columns[0], {column: column})
+            elif held["kind"] == "HNSW":
+                held["made"] = CellIndex(rows, key=rows.columns[0], vector=column)
+            else:
+                held["made"] = stage(rows.repartitionByRange(column).sortWithinPartitions(column), "btree")
+        return held["made"]
+
     def _drop(self, text: str, role: str, args: list) -> Result:
+        if m := re.match(r"DROP\s+INDEX\s+(IF\s+EXISTS\s+)?(\w+)$", text, re.I):
+            if m[2] in self.indexes:
+                self.access.require(role, self.indexes[m[2]]["table"], "DROP")
+                del self.indexes[m[2]]
+            elif not m[1]:
+                raise KeyError(f"no index {m[2]}")
+            return Result("ok")
         m = re.match(r"DROP\s+TABLE\s+(IF\s+EXISTS\s+)?(\w+)$", text, re.I)
         self.access.require(role, m[2], "DROP")
         if m[2] not in self.tables and not m[1]:
             raise KeyError(f"no table {m[2]}")
+        self.indexes = {n: x for n, x in self.indexes.items() if x["table"] != m[2]}
         if self.tables.pop(m[2], None):
             self.spark.catalog.dropTempView(m[2])
         return Result("ok")
@@ -130,6 +222,7 @@ class Engine:
     def _insert(self, text: str, role: str, args: list) -> Result:
         m = re.match(r"INSERT\s+(?:OR\s+REPLACE\s+)?INTO\s+(\w+)\s*(?:\(([^)]*)\))?\s*(VALUES.*|SELECT.*)$", text, re.I | re.S)
         self.access.require(role, m[1], "INSERT")
+        self._guard(m[3], role)
         base = self.table(m[1])
         names = [x.strip() for x in m[2].split(",")] if m[2] else base.columns
         new = self.spark.sql(m[3] if m[3][:6].upper() == "SELECT" else f"SELECT * FROM ({m[3]})", args=args).toDF(*names)
@@ -143,6 +236,7 @@ class Engine:
     def _update(self, text: str, role: str, args: list) -> Result:
         m = re.match(r"UPDATE\s+(\w+)\s+SET\s+(.*?)(?:\s+WHERE\s+(.*))?$", text, re.I | re.S)
         self.access.require(role, m[1], "UPDATE")
+        self._guard(f"SELECT {', '.join(x.partition('=')[2] for x in re.split(r',(?=\s*\w+\s*=)', m[2]))} WHERE {m[3] or 'true'}", role)  # subqueries' tables
         base, where = self.table(m[1]), F.coalesce(F.expr(m[3] or "true"), F.lit(False))
         n = base.filter(where).count()
         sets = dict(re.match(r"\s*(\w+)\s*=\s*(.*)", x, re.S).groups() for x in re.split(r",(?=\s*\w+\s*=)", m[2]))
@@ -152,6 +246,7 @@ class Engine:
     def _delete(self, text: str, role: str, args: list) -> Result:
         m = re.match(r"DELETE\s+FROM\s+(\w+)(?:\s+WHERE\s+(.*))?$", text, re.I | re.S)
         self.access.require(role, m[1], "DELETE")
+        self._guard(f"SELECT 1 WHERE {m[2] or 'true'}", role)
         base, where = self.table(m[1]), F.coalesce(F.expr(m[2] or "true"), F.lit(False))
         n = base.filter(where).count()
         self._store(m[1], base.filter(~where))
@@ -187,6 +282,7 @@ class Engine:
             self.tables[name].write(df)
         for name in touched:
             self.table(name).createOrReplaceTempView(name)
+            self._stale(name)
         return Result("ok", len(keep))
 
     def _commit(self, *_) -> Result:
@@ -242,6 +338,10 @@ class VectorClient:
     def info(self) -> dict:
         return {"table": self.name, "rows": self.engine.table(self.name).count()}
 
+    def insert(self, key: str, vector: list[float], metadata: dict[str, str] | None = None) -> int:
+        """One vector, in place of the one with its id."""
+        return self.bulk_write([(key, [float(x) for x in vector], metadata or {})])
+
     def bulk_write(self, rows: list[tuple]) -> int:
         new = self.engine.spark.createDataFrame(rows, self.SCHEMA)
         self.engine._store(self.name, self.engine.table(self.name).join(new.select("id"), "id", "left_anti").unionByName(new))

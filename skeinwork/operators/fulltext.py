@@ -1,18 +1,19 @@
-"""Inverted index and ranked retrieval as DataFrames.
+"""Ranked retrieval as DataFrames, without an index: ``index`` has the stored one.
 
-Scoring reads each text once: term frequencies of the query's terms are counted inside the row, so only one row of
-corpus statistics is aggregated and sent to all tasks; no postings are shuffled. ``postings`` builds the index itself.
+Scoring reads each text once: it is tokenised once a row, the term frequencies of the query's terms are counted inside
+the row and written as a slim table, from which one row of corpus statistics is aggregated and all scores are taken; no
+postings are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.staging import stage
 
 #: BM25's parameters and the fields' boosts.
 K1, B = 1.5, 0.75
@@ -24,10 +25,9 @@ def tokens(text: Column) -> Column:
     return T.words(F.lower(text))
 
 
-def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, positions): the positional index."""
-    each = df.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "term"))
-    return each.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once a row, however often it is used: what is above an explode isn't pushed through it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def idf(n: Column, df_: Column) -> Column:
@@ -43,19 +43,29 @@ def _is(word: str) -> Callable[[Column], Column]:
     return lambda x: x == F.lit(word)
 
 
-def bm25(df: DataFrame, key: str, fields: dict[str, float], terms: list[str], keep: list[str] | None = None) -> DataFrame:
+def bm25(df: DataFrame, key: str, fields: dict[str, float], terms: list[str] | dict[str, float], keep: list[str] | None = None) -> DataFrame:
     """(key, score[, keep]) of the documents that have a term in a field; fields: text column to boost. Lengths average over all documents."""
-    cols = list(fields)
-    counted = df.select(key, *(keep or []), *[F.struct(F.size(t).alias("len"), *[F.size(F.filter(t, _is(w))).alias(f"t{i}") for i, w in enumerate(terms)]).alias(f"f{j}") for j, c in enumerate(cols) for t in [tokens(F.coalesce(F.col(c), F.lit("")))]])
+    tokened, names = df, {}
+    for j, (c, boost) in enumerate(fields.items()):
+        tokened = once(tokened, f"_t{j}", tokens(F.coalesce(F.col(c), F.lit(""))))
+        names[f"_t{j}"] = boost
+    return bm25_of_tokens(tokened, key, names, terms, keep)
+
+
+def bm25_of_tokens(df: DataFrame, key: str, fields: dict[str, float], terms: list[str] | dict[str, float], keep: list[str] | None = None) -> DataFrame:
+    """The same over columns of tokens; terms may have boosts."""
+    terms = terms if isinstance(terms, dict) else dict.fromkeys(terms, 1.0)
+    counts = [F.struct(F.size(c).alias("len"), *[F.size(F.filter(c, _is(w))).alias(f"t{i}") for i, w in enumerate(terms)]).alias(f"f{j}") for j, c in enumerate(fields)]
+    counted = stage(df.select(key, *(keep or []), *counts), "term-counts")
     sums = [F.count(F.lit(1)).alias("n")]
-    for j in range(len(cols)):
+    for j in range(len(fields)):
         sums += [F.sum(f"f{j}.len").alias(f"len{j}"), *[F.count_if(F.col(f"f{j}.t{i}") > 0).alias(f"df{j}_{i}") for i in range(len(terms))]]
     stats = counted.agg(*sums)  # one row
     score = F.lit(0.0)
-    for j, c in enumerate(cols):
-        for i in range(len(terms)):
-            score = score + fields[c] * idf(F.col("n"), F.col(f"df{j}_{i}")) * bm25_part(F.col(f"f{j}.t{i}"), F.col(f"f{j}.len"), F.col(f"len{j}") / F.col("n"))
-    any_hit = F.greatest(*[F.col(f"f{j}.t{i}") for j in range(len(cols)) for i in range(len(terms))], F.lit(0)) > 0
+    for j, boost in enumerate(fields.values()):
+        for i, weight in enumerate(terms.values()):
+            score = score + boost * weight * idf(F.col("n"), F.col(f"df{j}_{i}")) * bm25_part(F.col(f"f{j}.t{i}"), F.col(f"f{j}.len"), F.col(f"len{j}") / F.col("n"))
+    any_hit = F.greatest(*[F.col(f"f{j}.t{i}") for j in range(len(fields)) for i in range(len(terms))], F.lit(0)) > 0
     return counted.filter(any_hit).crossJoin(F.broadcast(stats)).select(key, score.alias("score"), *(keep or []))
 
 
@@ -74,17 +84,20 @@ def tf_idf(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return weighed.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def has_phrase(text: Column, phrase: list[str], slop: int = 0) -> Column:
-    """Whether the terms follow one another, each at most 1 + slop places after the one before."""
-    toks = tokens(text)
+def has_phrase(toks: Column, phrase: list[str], slop: int = 0) -> Column:
+    """Whether the terms follow one another, each at most 1 + slop places after the one before.
 
-    def places(word: str) -> Column:
-        return F.array_compact(F.transform(toks, lambda x, i: F.when(x == F.lit(word), i)))
+    One pass over the tokens: what is kept is the last place up to which each beginning of the phrase has been met. A
+    later place is never worse than an earlier one, so the last is enough.
+    """
+    never = -(1 << 30)
 
-    def after(reach: Column, word: str) -> Column:
-        return F.filter(places(word), lambda q: F.exists(reach, lambda p: (q > p) & (q - p <= 1 + slop)))
+    def read(held: Column, token: Column) -> Column:
+        now = held[0]
+        met = [F.when((token == F.lit(w)) & (F.lit(True) if k == 0 else now - held[k] <= 1 + slop), now).otherwise(held[k + 1]) for k, w in enumerate(phrase)]
+        return F.array(now + 1, *met)
 
-    return F.size(reduce(after, phrase[1:], places(phrase[0]))) > 0
+    return F.aggregate(toks, F.array(F.lit(0), *[F.lit(never)] * len(phrase)), read)[len(phrase)] >= 0
 
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:

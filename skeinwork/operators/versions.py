@@ -21,15 +21,26 @@ def clock_relation(a: str, b: str) -> Column:
     return F.when(~below & ~above, "equal").when(~above, "before").when(~below, "after").otherwise("concurrent")
 
 
+SUBTREE = 10
+
+
 def merkle_root(df: DataFrame) -> DataFrame:
-    """(root, leaves) of (key, value) strings: leaves are SHA-256 of key:value in key order, parents of their children's hashes."""
+    """(root, leaves) of (key, value) strings: leaves are SHA-256 of key:value in key order, parents of their children's hashes.
+
+    Subtrees of SUBTREE levels are folded within a row, so there is one shuffle for ten levels, and one row a subtree goes on.
+    """
     level = global_rank(df, ["key"], "i", "n").select((F.col("i") - 1).alias("i"), F.sha2(F.concat_ws(":", "key", "value"), 256).alias("h"))
     leaves = n = level.count()
     if not n:
         return df.sparkSession.createDataFrame([(None, 0)], "root string, leaves bigint")
     while n > 1:
-        pair = F.array_sort(F.collect_list(F.struct("i", "h")))  # two at most
-        level = level.groupBy(F.floor(F.col("i") / 2).alias("p")).agg(pair.alias("c"))
-        level = level.select(F.col("p").alias("i"), F.sha2(F.concat(F.col("c")[0]["h"], F.coalesce(F.get("c", F.lit(1))["h"], F.col("c")[0]["h"])), 256).alias("h"))
-        n = (n + 1) // 2
+        deep = min(SUBTREE, (n - 1).bit_length())
+        listed = level.groupBy(F.shiftright("i", deep).alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("c"))  # 2 ** SUBTREE at most
+        listed = listed.select("i", F.transform("c", lambda x: x["h"]).alias("c"))
+        for _ in range(deep):
+            pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size("c") - 1) / 2).cast("int")), lambda j: F.slice("c", j * 2 + 1, F.lit(2)))
+            parents = F.transform(pairs, lambda p: F.sha2(F.concat(p[0], F.coalesce(F.get(p, F.lit(1)), p[0])), 256))
+            listed = listed.select("i", F.explode(F.array(parents)).alias("c"))  # worked out once: what is above an explode isn't pushed through it
+        level = listed.select("i", F.col("c")[0].alias("h"))
+        n = -(-n // (1 << deep))
     return level.select(F.col("h").alias("root"), F.lit(leaves).cast("long").alias("leaves"))

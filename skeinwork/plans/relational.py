@@ -166,9 +166,9 @@ def topk_window(spark: SparkSession, d: str) -> DataFrame:
     return best.join(e.groupBy("event_type").agg(F.count(F.lit(1)).alias("total_hits")), "event_type").select("event_type", "event_id", "value", "total_hits", "rank")
 
 
-@query("SELECT c_mktsegment, c_acctbal, c_custkey FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 200")
+@query("SELECT c_mktsegment, c_acctbal, c_custkey FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey")
 def multi_sort(spark: SparkSession, d: str) -> DataFrame:
-    """All customers in order. The SQL still stops after 200."""
+    """All customers in order."""
     return table(spark, d, "customer").select("c_mktsegment", "c_acctbal", "c_custkey").orderBy("c_mktsegment", F.desc("c_acctbal"), "c_custkey")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import fulltext as X
+from ..operators.index import SearchIndex
+from ..sources.staging import fresh_path
 from .base import Section, table
 
 S = Section()
@@ -28,6 +30,10 @@ def bm25_sql(terms: list[str], boost: float = 1.0) -> str:
     return f"(WITH k AS (SELECT doc_id, len(toks)::DOUBLE AS l, {tfs} FROM (SELECT doc_id, {_TOK} AS toks FROM documents)), s AS (SELECT count(*)::DOUBLE AS n, sum(l) / count(*) AS avg_l, {dfs} FROM k) SELECT doc_id, {parts} AS score FROM k, s WHERE {hit})"
 
 
+def index_of(spark: SparkSession, d: str) -> SearchIndex:
+    return SearchIndex.build(docs(spark, d), fresh_path(spark, "index"), "doc_id", {"text": "text"})
+
+
 def scores(spark: SparkSession, d: str, terms: list[str], boost: float = 1.0) -> DataFrame:
     return X.bm25(docs(spark, d), "doc_id", {"text": boost}, terms)
 
@@ -56,16 +62,40 @@ def match_all(spark: SparkSession, d: str) -> DataFrame:
   WHERE must.doc_id NOT IN (SELECT doc_id FROM documents WHERE list_contains({_TOK}, 'inger'))""")
 def bool_query(spark: SparkSession, d: str) -> DataFrame:
     """MUST the, SHOULD heat, MUST NOT inger: one pass over the texts, the clauses decided within the row."""
-    toks = X.tokens(F.col("text"))
-    hits = X.bm25(docs(spark, d).withColumn("banned", F.array_contains(toks, "inger")).withColumn("required", F.array_contains(toks, "the")), "doc_id", {"text": 1.0}, ["the", "heat"], keep=["banned", "required"])
+    toked = X.once(docs(spark, d), "toks", X.tokens(F.coalesce("text", F.lit(""))))
+    hits = X.bm25_of_tokens(toked.withColumn("banned", F.array_contains("toks", "inger")).withColumn("required", F.array_contains("toks", "the")), "doc_id", {"toks": 1.0}, ["the", "heat"], keep=["banned", "required"])
     return hits.filter("required and not banned").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, unnest(range(0, len({_TOK}))) AS pos, unnest({_TOK}) AS term FROM documents)
   SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos - a.pos BETWEEN 1 AND 2 WHERE a.term = 'of' AND b.term = 'the'""")
 def phrase_query(spark: SparkSession, d: str) -> DataFrame:
-    """of the, with slop 1; positions are compared inside each row."""
-    return docs(spark, d).filter(X.has_phrase(F.col("text"), ["of", "the"], 1)).select("doc_id")
+    """of the, with slop 1; one pass over each row's tokens."""
+    return docs(spark, d).filter(X.has_phrase(X.tokens(F.col("text")), ["of", "the"], 1)).select("doc_id")
+
+
+@query(f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql(['license', 'heat', 'and'])} ORDER BY score DESC, doc_id LIMIT 100")
+def indexed_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of bm25 from a stored index: built, then read at the query's terms only."""
+    return X.top(index_of(spark, d).search({"license": 1.0, "heat": 1.0, "and": 1.0}), "doc_id", 100).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, unnest(range(0, len({_TOK}))) AS pos, unnest({_TOK}) AS term FROM documents)
+  SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos - a.pos BETWEEN 1 AND 3 JOIN p c ON c.doc_id = b.doc_id AND c.pos - b.pos BETWEEN 1 AND 3 WHERE a.term = 'the' AND b.term = 'of' AND c.term = 'the'""")
+def indexed_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """the of the, with slop 2, from the positions of a stored index."""
+    return index_of(spark, d).phrase(["the", "of", "the"], 2)
+
+
+@query(f"""WITH k AS (SELECT doc_id, {_TOK} AS toks FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, {_TOK.replace('text', "text || ' heat heat'")} FROM documents WHERE doc_id % 7 = 0 AND doc_id % 2 = 0),
+  f AS (SELECT doc_id, len(toks)::DOUBLE AS l, len([x for x in toks if x = 'heat']) AS t FROM k), s AS (SELECT count(*)::DOUBLE AS n, sum(l) / count(*) AS a, count(*) FILTER (t > 0) AS df FROM f)
+  SELECT doc_id, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * t * 2.5 / (t + 1.5 * (0.25 + 0.75 * l / a)), 6) AS score FROM f, s WHERE t > 0""")
+def index_update(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh document is deleted from the index by id, and the even ones of them are added again with a new text."""
+    made, seventh = index_of(spark, d), docs(spark, d).filter("doc_id % 7 = 0")
+    made.delete(seventh.select("doc_id"))
+    made.add(seventh.filter("doc_id % 2 = 0").withColumn("text", F.concat("text", F.lit(" heat heat"))))
+    return made.search({"heat": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _VOCAB = f"(SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY term)"
@@ -224,9 +254,11 @@ def select_handler(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def search_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Understand, retrieve (lexical and vector), fuse, present."""
+    """Understand, retrieve (lexical, and vectors of whole texts), fuse, present."""
     from ..operators.pipeline import search
+    from ..operators.vectors import embed_column
 
-    return search(docs(spark, d), table(spark, d, "embeddings"), "heat +the -idiot", k=20)
+    vectors = docs(spark, d).select("doc_id", embed_column("text").alias("vector"))
+    return search(docs(spark, d), vectors, "heat +the -idiot", k=20)
 
 

@@ -14,7 +14,7 @@ S = Section()
 query = S.query
 
 _CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]+"
-_MIXED = "'Ransomware 攻撃' || doc_id || ' arXiv:2608.12345 脆弱性診断 of the ' || split_part(text, chr(10), 1)"
+_MIXED = "'Ransomware 攻撃' || doc_id || ' arXiv:2608.12345 脆弱性診断 of the ' || text"
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -22,8 +22,8 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, d: str) -> DataFrame:
-    """First lines with some Japanese put before them."""
-    return docs(spark, d).select("doc_id", F.concat(F.lit("Ransomware 攻撃"), F.col("doc_id").cast("string"), F.lit(" arXiv:2608.12345 脆弱性診断 of the "), T.title(F.col("text"))).alias("s"))
+    """Whole texts with some Japanese put before them."""
+    return docs(spark, d).select("doc_id", F.concat(F.lit("Ransomware 攻撃"), F.col("doc_id").cast("string"), F.lit(" arXiv:2608.12345 脆弱性診断 of the "), F.col("text")).alias("s"))
 
 
 def joined(c, name: str):
@@ -113,11 +113,11 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.clean(F.col("text")).alias("clean"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9_\-]+')) AS s FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_\-]+')) AS s FROM documents)
   SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0.0 ELSE len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) END AS score FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")
 def jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's first line against the next one's."""
-    t = docs(spark, d).select("doc_id", F.array_distinct(T.words(F.lower(T.title(F.col("text"))))).alias("s"))
+    """Each document's words against the next one's."""
+    t = docs(spark, d).select("doc_id", F.array_distinct(T.words(F.lower(F.col("text")))).alias("s"))
     n = t.select(F.col("doc_id").alias("b"), F.col("s").alias("o"), (F.col("doc_id") - 1).alias("before"))
     return t.join(n, F.col("doc_id") == F.col("before")).select(F.col("doc_id").alias("a"), "b", T.jaccard(F.col("s"), F.col("o")).alias("score"))
 
@@ -129,38 +129,39 @@ def _sql_any(ks: list[str]) -> str:
 #: Documents with a phrase of each taxonomy put in by number, so that every rule is met.
 PHRASES = ["llm agent", "lattice signature", "quic traffic", "malware fuzzing", "watermark leakage", "smart grid firmware", "storage", "nothing", "denial of service", "phishing", "backdoor", "privilege escalation", "remote code execution", "zero trust model"]
 _TOPIC = f"(SELECT doc_id, lang, source, [{', '.join(f"'{p}'" for p in PHRASES)}][doc_id % {len(PHRASES)} + 1] || ' ' || split_part(text, chr(10), 1) AS title, text FROM documents)"
+_WHOLE = f"(SELECT *, title || ' ' || text AS body FROM {_TOPIC})"
 
 
 def topical(spark: SparkSession, d: str) -> DataFrame:
     phrase = F.get(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % len(PHRASES)).cast("int"))
-    return table(spark, d, "documents").select("doc_id", "lang", "source", F.concat(phrase, F.lit(" "), T.title(F.col("text"))).alias("title"), "text")
+    return table(spark, d, "documents").select("doc_id", "lang", "source", F.concat(phrase, F.lit(" "), T.title(F.col("text"))).alias("title"), "text").withColumn("body", F.concat("title", F.lit(" "), "text"))
 
 
 _DOMAIN = "CASE " + " ".join(f"WHEN {_sql_any(ks)} THEN '{n}'" for n, ks in G.DOMAINS.items()) + f" ELSE '{G.OTHER_DOMAIN}' END"
 
 
-@query(f"SELECT doc_id, {_DOMAIN} AS domain FROM (SELECT doc_id, lower(title) AS t FROM {_TOPIC})")
+@query(f"SELECT doc_id, {_DOMAIN} AS domain FROM (SELECT doc_id, lower(body) AS t FROM {_WHOLE})")
 def classify_domain(spark: SparkSession, d: str) -> DataFrame:
-    return topical(spark, d).select("doc_id", G.classify_domain(F.col("title")).alias("domain"))
+    return topical(spark, d).select("doc_id", G.classify_domain(F.col("body")).alias("domain"))
 
 
 def _sql_labels(taxonomy: dict[str, list[str]]) -> str:
     return "[x for x in [" + ", ".join(f"CASE WHEN {_sql_any(ks)} THEN '{n}' END" for n, ks in taxonomy.items()) + "] if x IS NOT NULL]"
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(['cs.CR', {_DOMAIN.replace('contains(t', 'contains(u')}], {_sql_labels(G.TAGS)}))), '|') AS tags FROM (SELECT doc_id, lower(title) AS t, lower(title) || ' cs.cr' AS u FROM {_TOPIC})")
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(['cs.CR', {_DOMAIN.replace('contains(t', 'contains(u')}], {_sql_labels(G.TAGS)}))), '|') AS tags FROM (SELECT doc_id, lower(body) AS t, lower(body) || ' cs.cr' AS u FROM {_WHOLE})")
 def security_tags(spark: SparkSession, d: str) -> DataFrame:
-    return topical(spark, d).select("doc_id", joined(G.security_tags(F.col("title"), F.lit(None).cast("array<string>")), "tags"))
+    return topical(spark, d).select("doc_id", joined(G.security_tags(F.col("body"), F.lit(None).cast("array<string>")), "tags"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort({_sql_labels(G.TECHNIQUES)}), '|') AS techniques FROM (SELECT doc_id, lower(title) AS t FROM {_TOPIC})")
+@query(f"SELECT doc_id, array_to_string(list_sort({_sql_labels(G.TECHNIQUES)}), '|') AS techniques FROM (SELECT doc_id, lower(body) AS t FROM {_WHOLE})")
 def mitre(spark: SparkSession, d: str) -> DataFrame:
-    return topical(spark, d).select("doc_id", joined(G.labels(F.col("title"), G.TECHNIQUES), "techniques"))
+    return topical(spark, d).select("doc_id", joined(G.labels(F.col("body"), G.TECHNIQUES), "techniques"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort({_sql_labels(G.STRIDE)}), '|') AS categories FROM (SELECT doc_id, lower(title) AS t FROM {_TOPIC})")
+@query(f"SELECT doc_id, array_to_string(list_sort({_sql_labels(G.STRIDE)}), '|') AS categories FROM (SELECT doc_id, lower(body) AS t FROM {_WHOLE})")
 def stride(spark: SparkSession, d: str) -> DataFrame:
-    return topical(spark, d).select("doc_id", joined(G.labels(F.col("title"), G.STRIDE), "categories"))
+    return topical(spark, d).select("doc_id", joined(G.labels(F.col("body"), G.STRIDE), "categories"))
 
 
 _THREATS = ", ".join("CASE WHEN regexp_matches(html, '" + p.replace("'", "''") + f"') THEN '{n}' END" for p, n in G.THREATS)
@@ -179,9 +180,9 @@ def html_escape(spark: SparkSession, d: str) -> DataFrame:
 _TERMS = ", ".join(f"'{t}'" for t in G.TOPIC_TERMS)
 
 
-@query(rf"SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE least(1.0, 10.0::DOUBLE * len([x for x in w if x IN ({_TERMS})]) / len(w)) END AS score FROM (SELECT doc_id, regexp_extract_all(regexp_replace(lower(title), '[^\x00-\x7F]', ' ', 'g'), '\b[a-zA-Z_-]+\b') AS w FROM (SELECT doc_id, title || ' attack' AS title FROM {_TOPIC}))")
+@query(rf"SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE least(1.0, 10.0::DOUBLE * len([x for x in w if x IN ({_TERMS})]) / len(w)) END AS score FROM (SELECT doc_id, regexp_extract_all(regexp_replace(lower(title), '[^\x00-\x7F]', ' ', 'g'), '\b[a-zA-Z_-]+\b') AS w FROM (SELECT doc_id, body || ' attack' AS title FROM {_WHOLE}))")
 def topic_relevance(spark: SparkSession, d: str) -> DataFrame:
-    return topical(spark, d).select("doc_id", G.topic_relevance(F.regexp_replace(F.concat("title", F.lit(" attack")), r"[^\x00-\x7F]", " ")).alias("score"))
+    return topical(spark, d).select("doc_id", G.topic_relevance(F.regexp_replace(F.concat("body", F.lit(" attack")), r"[^\x00-\x7F]", " ")).alias("score"))
 
 
 @query(f"""SELECT doc_id, array_to_string(list_sort(list_distinct([x for x in [source, CASE WHEN contains(t, 'security') OR contains(x, 'security') THEN 'security' END, CASE WHEN contains(t, 'zero trust') OR contains(x, 'zero trust') THEN 'zero-trust' END,
@@ -249,7 +250,7 @@ def highlight_doc(spark: SparkSession, d: str) -> DataFrame:
 def md_tokens(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.markdown import to_html
 
-    md = F.concat(F.lit("# "), T.title(F.col("text")), F.lit("\n\n- *one*\n- **two**\n\n`code` [x](/y)\n"))
+    md = F.concat(F.lit("# "), T.title(F.col("text")), F.lit("\n\n- *one*\n- **two**\n\n`code` [x](/y)\n\n"), F.col("text"), F.lit("\n"))
     return docs(spark, d).select("doc_id", to_html(md).alias("html"))
 
 

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import stage
+
 
 def global_rank(df: DataFrame, order: list[str], rank: str, total: str) -> DataFrame:
     """df with each row's 1-based place in the order of ``order`` (ascending) and the number of rows.
 
-    Rows are range partitioned and sorted within partitions; only the partitions' counts, one row each, are summed up.
+    Rows are range partitioned and sorted within partitions, and written once with their partition's number and their
+    place in it: counted and joined from there, they can't be dealt by two samples of bounds. Only the partitions' counts,
+    one row each, are summed up.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't coalesced, so partition ids hold
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
     inside = (F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33) + 1).alias("_in")
-    placed = dealt.select("*", inside)
+    placed = stage(dealt.select("*", inside).drop("_id"), "ranked")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(F.col("_part").alias("_at"), before.alias("_before"), F.sum("_n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total))
     joined = placed.join(F.broadcast(offsets), F.col("_part") == F.col("_at"))  # one row a partition
-    return joined.withColumn(rank, F.col("_before") + F.col("_in")).drop("_part", "_id", "_in", "_at", "_before")
+    return joined.withColumn(rank, F.col("_before") + F.col("_in")).drop("_part", "_in", "_at", "_before")

@@ -51,7 +51,7 @@ def parse_advisories(items: DataFrame, xml: str = "xml") -> DataFrame:
 
 def render(df: DataFrame) -> DataFrame:
     """(doc_id, okf) of (doc_id, title, text, source): front matter, then the text."""
-    tags = tagging.security_tags(F.col("title"), F.lit(None).cast("array<string>"))
+    tags = tagging.security_tags(F.concat_ws(" ", "title", "text"), F.lit(None).cast("array<string>"))
     quoted = F.replace("title", F.lit('"'), F.lit("'"))
     head = F.format_string('---\ntype: "paper"\ntitle: "%s"\nresource: "urn:doc:%s"\ntags:\n%s\nprovenance:\n  origin: "%s"\n---\n\n# %s\n\n%s\n', quoted, F.col("doc_id").cast("string"), F.array_join(F.transform(tags, lambda t: F.concat(F.lit('  - "'), t, F.lit('"'))), "\n"), F.coalesce("source", F.lit("")), F.col("title"), F.coalesce("text", F.lit("")))
     return df.select("doc_id", head.alias("okf"))

@@ -49,7 +49,7 @@ def test_transactions(engine):
 
 
 def test_roles(engine):
-    with pytest.raises(PermissionError, match="role 'guest' does not have 'DELETE'"):
+    with pytest.raises(PermissionError, match="guest may not DELETE on papers"):
         engine.sql("DELETE FROM papers", role="guest")
     engine.sql("GRANT DELETE ON papers TO guest")
     assert engine.sql("DELETE FROM papers WHERE id = 'none'", role="guest").count == 0
@@ -70,6 +70,51 @@ def test_roles(engine):
     assert [category(s) for s in ("select 1", "DROP TABLE x", "grant a", "begin", "explain x")] == ["DQL", "DDL", "DCL", "TCL", "SQL"]
 
 
+@pytest.mark.parametrize("statement", [
+    "ALTER VIEW papers AS SELECT 'hacked' AS id", "CREATE OR REPLACE TEMP VIEW papers AS SELECT 1", "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`", "SELECT * FROM `parquet`.`/x`", "STORE x", "END", "QUERY x", "SET a = b", "ADD JAR x",
+    "EXPLAIN SELECT * FROM parquet.`/x`", "EXPLAIN ALTER VIEW papers AS SELECT 1", "EXPLAIN SELECT * FROM hidden", "SELECT (SELECT max(id) FROM hidden)", "SELECT 1 WHERE EXISTS (SELECT 1 FROM hidden)", "SELECT 1 WHERE 'a' IN (SELECT id FROM hidden)",
+    "WITH hidden AS (SELECT 1 AS id), a AS (SELECT * FROM hidden) SELECT * FROM a", "SELECT 'CTE [hidden]', id FROM hidden", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT * FROM spark_catalog.default.papers", "SELECT * FROM other_view", "SELECT * FROM HIDDEN", "SHOW DATABASES", "CACHE TABLE papers", "",
+])
+def test_what_a_guest_cannot_do(engine, statement):
+    if "hidden" not in engine.tables:
+        engine.attach("hidden", engine.spark.createDataFrame([("h",)], "id string"))
+        engine.access.grant("reader", "papers", "SELECT")
+    engine.spark.range(1).createOrReplaceTempView("other_view")
+    with pytest.raises(PermissionError):
+        engine.sql(statement, role="reader")
+
+
+def test_what_a_reader_still_can(engine):
+    engine.access.grant("reader", "papers", "SELECT")
+    assert engine.sql("WITH a AS (SELECT id FROM papers) SELECT count(*) AS n FROM a", role="reader").rows[0]["n"] >= 1
+    assert [r["name"] for r in engine.sql("SHOW TABLES", role="reader").rows] == ["papers"]
+    assert engine.sql("EXPLAIN SELECT id FROM papers", role="reader").count > 0
+    with pytest.raises(PermissionError):
+        engine.sql("INSERT INTO papers (id) VALUES ('x')", role="reader")
+    engine.access.grant("reader", "papers", "INSERT")
+    with pytest.raises(PermissionError):
+        engine.sql("INSERT INTO papers (id) SELECT id FROM hidden", role="reader")
+
+
+def test_indexes(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    e.attach("docs", spark.createDataFrame([(1, "ring attack", [1.0, 0.0]), (2, "lattice ring", [0.0, 1.0]), (3, "heat", [0.7, 0.7])], "id int, body string, vector array<float>"))
+    for kind, column in (("INVERTED", "body"), ("HNSW", "vector"), ("BTREE", "id")):
+        assert e.sql(f"CREATE INDEX {kind.lower()}_i ON docs USING {kind} ({column})").status == "ok"
+    with pytest.raises(ValueError):
+        e.sql("CREATE INDEX btree_i ON docs (id)")
+    assert e.sql("CREATE INDEX IF NOT EXISTS btree_i ON docs (id)").status == "ok"
+    assert {r["id"] for r in e.index("inverted_i").search({"ring": 1.0}).collect()} == {1, 2}
+    assert e.index("hnsw_i").search([1.0, 0.1], 1).first()["id"] == 1
+    assert [r["id"] for r in e.index("btree_i").filter("id > 1").collect()] == [2, 3]
+    e.sql("DELETE FROM docs WHERE id = 1")
+    assert {r["id"] for r in e.index("inverted_i").search({"ring": 1.0}).collect()} == {2}
+    e.sql("DROP INDEX hnsw_i")
+    with pytest.raises(KeyError):
+        e.sql("DROP INDEX hnsw_i")
+    assert e.sql("SELECT cosine_sim(array(1D, 0D), array(0.5D, 0.5D)) AS a, knn_score(array(1D), array(-1D)) AS b, size(embed('ring')) AS n").rows == [{"a": 0.5, "b": 0.0, "n": 128}]
+
+
 def test_guards(tmp_path):
     assert is_safe_path("a/b", str(tmp_path)) and not is_safe_path("../x", str(tmp_path)) and not is_safe_path("a\0", str(tmp_path))
     for bad in ("import subprocess", "from pickle import loads", "__import__('os')", "x.__class__", "open('f', 'w')", "eval('1')"):
@@ -82,6 +127,7 @@ def test_vector_client(engine):
     assert c.ping() and c.bulk_write([("a", [1.0, 0.0], {"x": "y"}), ("b", [0.0, 1.0], {})]) == 2
     assert c.info()["rows"] == 2 and c.get_by_id("a")["metadata"] == {"x": "y"} and c.get_by_id("z") is None
     assert c.search_knn([1.0, 0.0], 1).first()["id"] == "a"
+    assert c.insert("a", [0.0, 2.0]) == 1 and c.info()["rows"] == 2 and c.get_by_id("a")["vector"] == [0.0, 2.0]
 
 
 def test_snapshots(spark, tmp_path):

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from skeinwork.functions import tagging, text, urls
@@ -14,7 +15,8 @@ from skeinwork.operators import contracts, fulltext, graph, stats, vectors, vers
 from skeinwork.operators.bloom import Bloom
 from skeinwork.operators.evaluation import ranked_measures
 from skeinwork.operators.facets import faceted_filter
-from skeinwork.operators.pipeline import parse, search, select
+from skeinwork.operators.index import SearchIndex, postings
+from skeinwork.operators.pipeline import parse, retrieve, search, select
 from skeinwork.plans.planning import phi_of
 from skeinwork.sources import records
 from skeinwork.sources.ranks import global_rank
@@ -81,11 +83,102 @@ def test_bm25_and_parser(spark):
     q = parse('+a -b "c d"~2 x* y~1 f^4.0 author:z')
     assert (q.must, q.banned, q.phrases, q.prefixes, q.fuzzy, q.terms["f"], q.fields) == (["a"], ["b"], [(["c", "d"], 2)], ["x"], [("y", 1)], 4.0, [("author", "z")])
     assert select(docs, {"q": "attack", "fq": "lang = 'de'"}).first()["num_found"] == 1
-    assert search(docs.filter("text is not null"), docs, "attack", 2).count() == 2
-    posts = {(r["term"], r["doc_id"]): r["positions"] for r in fulltext.postings(docs, "doc_id", "text").collect()}
+    assert search(docs.filter("text is not null"), None, "attack", 2).count() == 2
+    own = docs.filter("text is not null").select("doc_id", vectors.embed_column("text").alias("vector")).filter("doc_id = 1")
+    assert [r["vector_rank"] for r in search(docs.filter("text is not null"), own, "nothing", 2).collect()] == [1]
+    posts = {(r["term"], r["key"]): r["positions"] for r in postings(docs, "doc_id", {"text": "text"}).collect()}
     assert posts["attack", 0] == [1]
 
 
+def test_query_tree(spark):
+    docs = spark.createDataFrame([(1, "ring attack on keys"), (2, "lattice keys"), (3, "ring signature"), (4, "攻撃 report"), (5, None)], "doc_id int, text string")
+    hits = lambda q: {r["doc_id"] for r in retrieve(docs, parse(q), "doc_id", "text").collect()}
+    assert hits("ring AND keys") == {1} and hits("(ring OR lattice) AND keys") == {1, 2} and hits("ring AND NOT keys") == {3}
+    assert hits("lattice OR ring AND signature") == {2, 3} and hits('(ring OR lattice) AND "attack on"') == {1} and hits("keys AND (latt* OR sig*)") == {2}
+    assert hits("attack") == {1, 4} and hits("+attack") == {1, 4}  # by its synonym as well
+    scores = {r["doc_id"]: r["score"] for r in retrieve(docs, parse("attack"), "doc_id", "text").collect()}
+    assert 0 < scores[4] and parse("a AND NOT b").terms == {"a": 1.0}
+    for bad in ("(a", "a)", "a AND", "AND a", "NOT"):
+        with pytest.raises(ValueError):
+            parse(bad)
+
+
+def test_phrases(spark):
+    held = lambda s, words, slop: one(spark, fulltext.has_phrase(F.split(F.col("s"), " "), words, slop), s=s)
+    assert held("a b c", ["a", "b"], 0) and not held("a x b", ["a", "b"], 0) and held("a x b", ["a", "b"], 1) and not held("b a", ["a", "b"], 3)
+    assert held("a a b", ["a", "a", "b"], 0) and not held("a b", ["a", "a", "b"], 2) and held("a b x a b c", ["a", "b", "c"], 0) and not held("", ["a"], 0)
+
+
+def test_stored_index(spark, tmp_path):
+    """Scores as without an index; adds, deletes and merges change what is found."""
+    texts = ["ring attack", "lattice ring ring", "heat", None, "a ring of keys"]
+    docs = spark.createDataFrame([(i, t, f"title {i} ring" if i % 2 else "plain") for i, t in enumerate(texts)], "id int, body string, head string")
+    made = SearchIndex.build(docs, f"file://{tmp_path}/i", "id", {"body": "body", "head": "head"})
+    want = {r["id"]: round(r["score"], 9) for r in fulltext.bm25(docs, "id", {"body": 1.0, "head": 4.0}, ["ring", "keys"]).collect()}
+    found = lambda ix: {r["id"]: round(r["score"], 9) for r in ix.search({"ring": 1.0, "keys": 1.0}, {"body": 1.0, "head": 4.0}).collect()}
+    assert found(made) == want
+    assert {r["id"] for r in made.phrase(["ring", "ring"]).collect()} == {1} and {r["id"] for r in made.phrase(["a", "keys"], 2).collect()} == {4}
+    made.delete(docs.filter("id = 1").select("id"))
+    assert 1 not in found(made) and made.status()["live"] == 4 and made.status()["deleted"] == 1
+    made.add(spark.createDataFrame([(4, "nothing", "plain"), (1, "ring", "x")], "id int, body string, head string"))
+    now = docs.filter("id not in (1, 4)").unionByName(spark.createDataFrame([(4, "nothing", "plain"), (1, "ring", "x")], "id int, body string, head string"))
+    want = {r["id"]: round(r["score"], 9) for r in fulltext.bm25(now, "id", {"body": 1.0, "head": 4.0}, ["ring", "keys"]).collect()}
+    assert found(made) == want == found(made.merge(f"file://{tmp_path}/j"))
+
+
+def test_ranks_of_many_rows_with_a_carried_column(spark):
+    """More rows than the sample of a range partitioning holds, with a column that only one branch needs."""
+    rows = spark.range(600_000).select((F.col("id") * 7919 % 600_000 % 1000).alias("k"), "id", F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"))
+    placed = global_rank(rows, ["k", "id"], "place", "n").agg(F.countDistinct("place").alias("d"), F.min("place").alias("a"), F.max("place").alias("b"), F.max("n").alias("n")).first()
+    assert tuple(placed) == (600_000, 1, 600_000, 600_000)
+
+
+def test_merkle_of_many_levels(spark):
+    """One shuffle for ten levels gives the root of pairing level by level, whatever the number of leaves."""
+    import hashlib
+
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for n in (1, 2, 5, 1024, 1025, 3001):
+        level = [h(f"{i:05}:v{i}") for i in range(n)]
+        while len(level) > 1:
+            level = [h(level[i] + level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+        leaves = spark.range(n).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("key"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("value"))
+        assert versions.merkle_root(leaves).first()["root"] == level[0], n
+
+
+def test_cells_find_nine_of_ten(spark):
+    """Recall over all queries of the test data against brute force, and tables without vectors."""
+    import numpy as np
+
+    e = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/embeddings.parquet")
+    rows = e.select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = vectors.CellIndex(e)
+    got = {}
+    for r in index.search_many(e.filter("vec_id % 50 = 0").select("vec_id", "embedding"), 10).collect():
+        got.setdefault(r["src"], set()).add(r["dst"])
+    hits = 0
+    for q in ids[ids % 50 == 0]:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -2
+        hits += len(got[q] & set(ids[np.lexsort((ids, -np.round(s, 6)))[:10]].tolist()))
+    recall = hits / (10 * len(ids[ids % 50 == 0]))
+    print("recall", recall, "probes", index.probes, "of", len(index.centres))
+    assert recall >= 0.9
+    assert vectors.CellIndex(e.filter("false")).search_many(e.select("vec_id", "embedding"), 3).count() == 0
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([
+        ("p1", {"quantum": 10, "cryptography": 8, "key": 5}, ["quantum", "post-quantum", "crypto"], ["cryptography"]),
+        ("p2", {"quantum": 8, "key": 6, "exchange": 4}, ["quantum", "key-exchange"], ["cryptography"]),
+        ("p3", {"web": 12, "waf": 9, "xss": 7}, ["waf", "web-security"], ["web-security"]), ("p4", None, None, None),
+    ], "id string, token_counts map<string,int>, annotated_keywords array<string>, tags array<string>")
+    got = vectors.proximity_graph(docs, 2).collect()
+    assert {(r["src"], r["dst"]) for r in got} == {("p1", "p2"), ("p2", "p1")} and all(r["similarity"] > 0.3 for r in got)
+
+
 def test_facets(spark):
     df = spark.createDataFrame([("2026", "cs.CR", ["x"], "d"), ("2025", "quant-ph", ["y"], "d")], "year string, category string, tags array<string>, domain string")
     assert faceted_filter(df, year="1900").count() == 2

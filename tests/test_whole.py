@@ -8,9 +8,7 @@ from skeinwork.operators import vectors
 
 
 def test_pagerank_takes_all_orders(spark, same_rows):
-    cut = " WHERE o_orderkey <= 60"
-    sql = registry.oracle_sql()["pagerank"]
-    same_rows(registry.queries()["pagerank"](spark, SF), sql.replace(cut, ""))
+    same_rows(registry.queries()["pagerank"](spark, SF), registry.oracle_sql()["pagerank"])
 
 
 def write(spark, folder, name, rows, schema):
@@ -27,12 +25,12 @@ def test_clocks_of_all_users(spark, tmp_path):
     for name in ("vclock_order", "frontier_versions"):
         df = registry.queries()[name](spark, d)
         ours = sorted(map(tuple, df.collect()))
-        rel = duck.sql(registry.oracle_sql()[name].replace("WHERE user_id < 40 ", ""))
+        rel = duck.sql(registry.oracle_sql()[name])
         assert ours == sorted(tuple(r) for r in rel.fetchall()) and max(r[0] for r in ours) >= 40
 
 
 def test_knn_graph_meets_all_rows(spark, same_rows, monkeypatch):
-    sql = registry.oracle_sql()["knn_graph"].replace("a.label = b.label AND ", "").replace(" AND a.vec_id % 10 = b.vec_id % 10", "")
+    sql = registry.oracle_sql()["knn_graph"]
     same_rows(registry.queries()["knn_graph"](spark, SF), sql)
     monkeypatch.setattr(vectors, "GRAPH_BLOCK", 100)  # six blocks a side
     same_rows(registry.queries()["knn_graph"](spark, SF), sql)
