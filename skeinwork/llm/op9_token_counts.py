@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .bytewords import chunks, utf8_view
 from .merge_replay import Encoder, Ranks
-from .staging import fresh_path, stage
+from .staging import forget, fresh_path, join_counted, stage
 
 BATCH_BYTES = 8 << 20
 CACHE_SCHEMA = "digest binary, n_tokens bigint, version string"
@@ -147,15 +147,18 @@ def count_tokens(df: DataFrame, path: str, cache_path: str | None = None, key: s
     """(key, n_bytes, n_tokens, over_limit) of every row of df.
 
     cache_path: folder that keeps counts between calls; without one this call starts from an empty cache of its own.
-    Rows share a shuffle of digests only; texts move once, to the side of the misses that one row of each stands for.
+    Rows share a shuffle of digests only; texts move once, to the side of the misses that one row of each stands for. The
+    rows of contents with very many copies take their count without a shuffle.
     """
     spark = df.sparkSession
     version, cache_path = tokenizer_version(path), cache_path or fresh_path(spark, "token-cache")
     content = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key), F.unhex(F.sha2(content, 256)).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"), content.alias("content"))
     slim = stage(rows.select(key, "digest", "n_bytes"), "digests")
-    misses = slim.groupBy("digest").agg(F.min(key).alias("carrier")).join(read_cache(spark, cache_path, version), "digest", "left_anti")
+    distinct = stage(slim.groupBy("digest").agg(F.min(key).alias("carrier"), F.count(F.lit(1)).alias("n")), "distinct")
+    misses = distinct.select("digest", "carrier").join(read_cache(spark, cache_path, version), "digest", "left_anti")
     chosen = rows.join(misses.hint("shuffle_hash").withColumnRenamed("digest", "wanted"), (F.col("digest") == F.col("wanted")) & F.col(key).eqNullSafe(F.col("carrier")), "left_semi")
     _encode_misses(chosen.select("digest", "content"), path).withColumn("version", F.lit(version)).write.mode("append").parquet(cache_path)
-    counted = slim.join(read_cache(spark, cache_path, version), "digest", "left")
-    return counted.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = stage(distinct.select("digest", "n").join(read_cache(spark, cache_path, version), "digest", "left"), "counts")
+    forget(distinct)
+    return join_counted(slim, counts, "digest").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
