@@ -109,14 +109,21 @@ class Ring:
         return list(dict.fromkeys(around))[: min(n, self.n)]
 
     def assign(self, key: str | Column, n: int = 1) -> Column:
-        """The key's first n nodes; the ring, of a fixed number of points, goes along."""
-        ring = self
+        """The key's first n nodes. Keys are hashed by Spark; the ring, of a fixed number of points, goes along with each point's nodes worked out."""
+        points, around = self.points, [list(dict.fromkeys(self.owners[at:] + self.owners[:at]))[: min(n, self.n)] for at in range(len(self.owners))]
 
         @F.pandas_udf("array<string>")
         def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda k: None if k is None else ring.preference(k, n))
-
-        return run(key)
+            known = s.notna().to_numpy()
+            at = np.searchsorted(points, np.array([int(x, 16) for x in s[known]], np.uint64), side="right") % len(points)
+            out = np.full(len(s), None, object)
+            for place, slot in zip(np.flatnonzero(known), at, strict=True):
+                out[place] = around[slot]
+            return pd.Series(out)
+
+        key = F.col(key) if isinstance(key, str) else key
+        digest = F.md5(key) if self.hash_ == "md5" else F.sha2(key, int(self.hash_.removeprefix("sha")))
+        return run(F.substring(digest, 1, 16))
 
 
 def css_select(html: Column, selector: str) -> Column:

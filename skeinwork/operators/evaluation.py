@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,24 @@ def ranked_measures(ranked: DataFrame, judged: DataFrame, k: int = 10) -> DataFr
     return sums.join(ideal, "query", "left").select("query", p.alias("precision"), zero(r).alias("recall"), zero(F.when(F.col("relevant") > 0, F.col("ap_sum") / F.col("relevant"))).alias("ap"), zero(1 / F.col("first")).alias("rr"), zero(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg"))).alias("ndcg"))
 
 
+def evaluate(run: Callable[[str], DataFrame], gold: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
+    """Measures of every gold query (query, doc, grade): each is run, giving (key, score), and judged; one row a query, and one of means named 'mean'."""
+    texts = [r["query"] for r in gold.select("query").distinct().orderBy("query").collect()]  # a gold set is short
+    ranked = None
+    for t in texts:
+        top = run(t).orderBy(F.desc("score"), key).limit(k)
+        place = F.row_number().over(Window.orderBy(F.desc("score"), key))  # k rows
+        one = top.select(F.lit(t).alias("query"), F.col(key).alias("doc"), place.alias("rank"))
+        ranked = one if ranked is None else ranked.unionByName(one)
+    if ranked is None:
+        ranked = gold.select("query", "doc", F.lit(1).alias("rank")).limit(0)
+    judged = ranked.join(gold, ["query", "doc"], "left").select("query", "rank", F.coalesce("grade", F.lit(0)).alias("rel"))
+    blank = gold.select("query").distinct().join(judged.select("query").distinct(), "query", "left_anti").select("query", F.lit(1).alias("rank"), F.lit(0).alias("rel"))
+    each = ranked_measures(judged.unionByName(blank), gold.select("query", F.col("grade").alias("rel")), k)
+    means = each.agg(*[F.avg(c).alias(c) for c in each.columns if c != "query"]).select(F.lit("mean").alias("query"), *[c for c in each.columns if c != "query"])
+    return each.unionByName(means)
+
+
 def f_beta(precision: Column, recall: Column, beta: float = 1.0) -> Column:
     b = beta * beta
     return F.when((precision <= 0) | (recall <= 0), 0.0).otherwise((1 + b) * precision * recall / (b * precision + recall))

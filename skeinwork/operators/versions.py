@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,16 @@ def clock_relation(a: str, b: str) -> Column:
     return F.when(~below & ~above, "equal").when(~above, "before").when(~below, "after").otherwise("concurrent")
 
 
+def merge_siblings(versions: DataFrame, merge: Callable[[list], object], kind: str, key: str = "key", value: str = "value") -> DataFrame:
+    """(key, value) with the siblings of each key made one by the caller's own function over their values, in order; a key's siblings are few, as dominated versions are gone."""
+
+    @F.udf(kind)
+    def run(values: list) -> object:
+        return merge(values)
+
+    return versions.groupBy(key).agg(run(F.array_sort(F.collect_list(value))).alias(value))
+
+
 SUBTREE = 10
 
 

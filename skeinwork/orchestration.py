@@ -102,6 +102,15 @@ class TopicPlanner:
         self.weights = normalized({n: sum(c * s[n] for c, s in zip((self.alpha, self.beta, self.gamma, self.delta), shares, strict=True)) for n in names})
         return self.weights
 
+    def plan(self, context: dict, cycle: str) -> dict:
+        """The planning phase: a directive goes into the context."""
+        return {**context, "directive": self.directive(cycle)}
+
+    def undo_plan(self, context: dict) -> dict:
+        """Its compensation clears the directive again."""
+        context.pop("directive", None)
+        return context
+
     def directive(self, cycle: str, budget: int = 50, least: int = 5) -> Directive:
         return Directive(f"dir_{cycle}", sorted(self.weights), {t: max(least, round(w * budget)) for t, w in self.weights.items()})
 
@@ -200,3 +209,45 @@ def profile(run: Callable[[], object], iterations: int = 5, warm_up: int = 1) ->
         run()
     took = time.perf_counter() - began
     return {"iterations": iterations, "seconds": took / iterations, "per_second": iterations / took if took else 0.0}
+
+
+class Distributor:
+    """Hands products (product_id, ...) to all channels; a channel that fails is noted and the others go on."""
+
+    def __init__(self) -> None:
+        self.channels: dict[str, Callable[[DataFrame], object]] = {}
+        self.errors: list[dict] = []
+        self._published: DataFrame | None = None
+
+    def register(self, name: str, send: Callable[[DataFrame], object]) -> None:
+        self.channels[name] = send
+
+    def disseminate(self, products: DataFrame) -> None:
+        self._published = products if self._published is None else self._published.unionByName(products, allowMissingColumns=True)
+        for name, send in self.channels.items():
+            try:
+                send(products)
+            except Exception as e:  # a failed channel is data here
+                self.errors.append({"channel": name, "error": str(e)})
+
+    def compensate(self, products: DataFrame) -> None:
+        """Takes the batch's ids back from what was published."""
+        if self._published is not None:
+            self._published = self._published.join(products.select("product_id").distinct(), "product_id", "left_anti")
+
+    def published(self) -> DataFrame | None:
+        return self._published
+
+
+def run_theme(theme: Theme, sources: dict[str, Callable[[str, int], DataFrame]], transform: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, str], object], quota: int = 10, topic: str | None = None) -> tuple[DataFrame | None, list[dict]]:
+    """(items, errors) of a theme: each of its sources is asked, what they give is transformed, and a summary written under its root."""
+    wanted = {n: read for n, read in sources.items() if not theme.sources or n in theme.sources}
+    frames, errors = harvest(wanted, [topic or next(iter(theme.keywords), theme.name)], quota)
+    if not frames:
+        return None, errors
+    items = frames[0]
+    for df in frames[1:]:
+        items = items.unionByName(df, allowMissingColumns=True)
+    done = transform(items)
+    write(done, theme.root)
+    return done, errors

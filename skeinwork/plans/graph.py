@@ -48,6 +48,12 @@ def khop(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE e AS (SELECT * FROM {SPARSE} WHERE src <> dst), w AS (SELECT src, dst FROM e UNION SELECT w.src, e.dst FROM w JOIN e ON w.dst = e.src) SELECT src AS id FROM w WHERE src = dst")
 def cycle(spark: SparkSession, d: str) -> DataFrame:
+    return G.on_cycles(sparse(spark, d)).select("id")
+
+
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {SPARSE} WHERE src <> dst), w AS (SELECT src, dst FROM e UNION SELECT w.src, e.dst FROM w JOIN e ON w.dst = e.src) SELECT a.src AS id, max(a.dst) AS victim FROM w a JOIN w b ON a.src = b.dst AND a.dst = b.src WHERE a.src IN (SELECT src FROM w WHERE src = dst) GROUP BY a.src")
+def cycle_victim(spark: SparkSession, d: str) -> DataFrame:
+    """The transaction to abort for each one in a deadlock: the greatest that it shares cycles with."""
     return G.on_cycles(sparse(spark, d))
 
 

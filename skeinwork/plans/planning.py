@@ -86,7 +86,7 @@ def bloom_filter(spark: SparkSession, d: str) -> DataFrame:
 
     bought = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").cast("string").alias("k"))
     bloom = Bloom.for_rows(bought.distinct().count(), 0.01).fit(bought, "k")
-    return table(spark, d, "part").select("p_partkey", bloom.may_contain(F.col("p_partkey").cast("string")).alias("maybe"))
+    return bloom.probe(table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("k")), "k").select("p_partkey", "maybe")
 
 
 @query()

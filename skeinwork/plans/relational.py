@@ -211,3 +211,34 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
 def hashes(spark: SparkSession, d: str) -> DataFrame:
     name = F.col("c_name")
     return table(spark, d, "customer").select("c_custkey", F.sha2(name, 256).alias("sha"), F.md5(name).alias("md5"), F.upper(F.substring(F.md5(name), 1, 8)).alias("head"))
+
+
+@query("""WITH b AS (SELECT c_custkey, c_name, [('0x' || x)::HUGEINT for x in regexp_extract_all(hex(encode(c_name)), '..')] AS bytes FROM customer)
+  SELECT c_custkey, list_reduce(list_concat([14695981039346656037::HUGEINT], bytes), lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::VARCHAR AS fnv FROM b""")
+def fnv_hashes(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.hashing import fnv1a
+
+    return table(spark, d, "customer").select("c_custkey", fnv1a(F.col("c_name")).cast("string").alias("fnv"))
+
+
+_LAST = "(SELECT max(o_orderdate)::DATE FROM orders)"
+
+
+@query(f"""SELECT 'run' AS tier, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders UNION ALL SELECT 'daily', count(*), round(sum(o_totalprice), 2) FROM orders WHERE o_orderdate::DATE = {_LAST}
+  UNION ALL SELECT 'last ' || days || ' days', count(o_orderkey), round(coalesce(sum(o_totalprice), 0), 2) FROM (SELECT unnest([30, 90, 365]) AS days) LEFT JOIN orders ON date_diff('day', o_orderdate::DATE, {_LAST}) < days GROUP BY days""")
+def trailing_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """The run, its last day, and what trails it by 30, 90 and 365 days: all tiers from one row a day."""
+    o = table(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("price"))
+    last = o.agg(F.max("day").alias("last"))  # one row
+    back = F.date_diff("last", "day")
+    tiers = F.array(F.lit("run"), F.when(back == 0, "daily"), *[F.when(back < k, f"last {k} days") for k in (30, 90, 365)])
+    each = o.crossJoin(F.broadcast(last)).select(F.explode(F.array_compact(tiers)).alias("tier"), "n", "price")
+    return each.groupBy("tier").agg(F.sum("n").alias("n"), F.round(F.sum("price"), 2).alias("price"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE length(n_name) % 2 = 0 AND n_nationkey > 3")
+def predicate_callback(spark: SparkSession, d: str) -> DataFrame:
+    """A filter that only Python code knows, as an Arrow batch function; what columns can say is applied before it."""
+    from ..operators.predicates import keep
+
+    return keep(table(spark, d, "nation").filter("n_nationkey > 3").select("n_nationkey", "n_name"), lambda row: len(row["n_name"]) % 2 == 0)

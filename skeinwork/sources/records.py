@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,27 @@ def front_matter(okf, name: str):
     return F.regexp_extract(okf, rf'(?m)^{name}:\s*(?:"([^"\n]*)"|\[([^\]\n]*)\])\s*$', 1)
 
 
+def read_feed(spark: SparkSession, atom: str, rss: str | None = None, limit: int = 100) -> DataFrame:
+    """Records of an Atom feed (a path that Spark reads), or of an RSS feed if that has none or can't be read; at most ``limit`` of them, by id."""
+    try:
+        entries = spark.read.format("xml").option("rowTag", "entry").schema(ENTRY).load(atom).select(F.to_xml(F.struct("*"), {"rowTag": "entry"}).alias("xml"))
+        items = parse_atom(entries).filter("id is not null")
+        if items.limit(1).collect():
+            return items.orderBy("id").limit(limit)
+    except AnalysisException:  # no such feed
+        if rss is None:
+            raise
+    if rss is None:
+        return spark.createDataFrame([], ITEM)
+    item = "title string, link string, description string, pubDate string, guid string"
+    i = spark.read.format("xml").option("rowTag", "item").schema(item).load(rss)
+    blank, raw = F.lit(None).cast("string"), F.element_at(F.split("link", "/"), -1)
+    return i.select(
+        raw.alias("id"), clean_id(raw).alias("clean_id"), text.clean(F.col("title")).alias("title"), text.clean(F.col("description")).alias("abstract"), F.array().cast("array<string>").alias("authors"),
+        F.col("pubDate").alias("published"), blank.alias("updated"), F.col("link").alias("url"), F.replace("link", F.lit("/abs/"), F.lit("/pdf/")).alias("pdf_url"), blank.alias("category"), F.array().cast("array<string>").alias("categories"), F.lit("rss").alias("source_type"), F.create_map().cast("map<string,string>").alias("extra"),
+    ).orderBy("id").limit(min(limit, 50))
+
+
 class Registry:
     """Named record sources: functions (spark, options) -> DataFrame."""
 

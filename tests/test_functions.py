@@ -194,7 +194,8 @@ def test_statistics(spark):
     assert [n for _, n in got] == [2] * 10
     assert sorted(r["i"] for r in global_rank(values, ["v"], "i", "n").collect()) == list(range(1, 25))
     bloom = Bloom.for_rows(300).fit(spark.range(300).select(F.col("id").cast("string").alias("k")), "k")
-    probe = spark.range(2300).select("id", bloom.may_contain(F.col("id").cast("string")).alias("m"))
+    keys = spark.range(2300).select("id", F.col("id").cast("string").alias("k"))
+    probe = bloom.probe(keys, "k", "m")
     assert probe.filter("id < 300 and not m").count() == 0 and probe.filter("id >= 300 and m").count() < 60
     assert phi_of(-3) == pytest.approx(0, abs=1e-4) and phi_of(6) == 16.0 and phi_of(20) > 12
 
