@@ -7,10 +7,12 @@ import json
 import posixpath
 import urllib.parse
 import urllib.robotparser
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tracking parameters, trap limits, sensitive path prefixes.
@@ -75,18 +77,30 @@ def host(url: str | Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#]*)", 1))
 
 
-def allowed(url: str, robots: dict[str, str], agent: str = "*") -> Column:
-    """Whether a host's robots.txt lets the agent fetch the URL; hosts without one allow all."""
+def robot_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
+    """(host, rules) of (host, body): the rules of each host's robots.txt that hold for an agent, in order, as (path, allow). Each file is read once."""
 
-    @F.pandas_udf("boolean")
-    def run(s: pd.Series) -> pd.Series:
-        rules = {}
-        for name, body in robots.items():
-            rules[name] = urllib.robotparser.RobotFileParser()
-            rules[name].parse(body.splitlines())
-        return s.map(lambda u: (r := rules.get(urllib.parse.urlsplit(u).netloc.lower())) is None or r.can_fetch(agent, u))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for body in batch.column(1).to_pylist():
+                parser = urllib.robotparser.RobotFileParser()
+                parser.parse((body or "").splitlines())
+                entry = next((e for e in parser.entries if e.applies_to(agent)), parser.default_entry)
+                out.append([{"path": urllib.parse.unquote(r.path), "allow": r.allowance} for r in (entry.rulelines if entry else [])])
+            kind = pa.list_(pa.struct([("path", pa.string()), ("allow", pa.bool_())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["host", "rules"])
 
-    return run(F.col(url))
+    return robots.select(F.lower("host").alias("host"), "body").mapInArrow(read, "host string, rules array<struct<path:string,allow:boolean>>")
+
+
+def with_permission(pages: DataFrame, rules: DataFrame, into: str = "allowed") -> DataFrame:
+    """pages (url, ...) with whether their host's rules let them be fetched: the first rule whose path begins the URL's decides; hosts without rules allow all."""
+    path = F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*([^#]*)", 1)
+    path = F.when(F.length(path) == 0, "/").otherwise(path)
+    first = F.get(F.filter("rules", lambda r: F.startswith(path, r["path"]) | (r["path"] == "*")), F.lit(0))
+    named = rules.select(F.col("host").alias("_host"), "rules")
+    return pages.join(named, host("url") == F.col("_host"), "left").withColumn(into, F.coalesce(first["allow"], F.lit(True))).drop("_host", "rules")
 
 
 class Ring:
