@@ -7,19 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.ranks import running
+
 
 def ranked_measures(ranked: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
     """One row a query: precision and recall at k, average precision, reciprocal rank, NDCG at k. rel is the grade, 0 if not relevant."""
-    w = Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     hit = (F.col("rel") > 0).cast("int")
-    each = ranked.select("*", hit.alias("hit"), (F.sum(hit).over(w) / F.col("rank")).alias("running"))
+    each = running(ranked.select("query", "rank", "rel", hit.alias("hit")), "query", ["rank"], sums={"hit": "met"}).withColumn("running", F.col("met") / F.col("rank"))
     gain = (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("rank") + 1.0)
     sums = each.groupBy("query").agg(
         F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias("hits"), F.sum(F.col("running") * F.col("hit")).alias("ap_sum"),
         F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias("dcg"),
     )
-    ideal_rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rel")))
-    ideal = judged.withColumn("i", ideal_rank).groupBy("query").agg(F.count_if(F.col("rel") > 0).alias("relevant"), F.sum(F.when(F.col("i") <= k, (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("i") + 1.0)).otherwise(0.0)).alias("idcg"))
+    ordered = running(judged.select("query", "rel", (-F.col("rel")).alias("worse")), "query", ["worse"], rank="i")
+    ideal = ordered.groupBy("query").agg(F.count_if(F.col("rel") > 0).alias("relevant"), F.sum(F.when(F.col("i") <= k, (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("i") + 1.0)).otherwise(0.0)).alias("idcg"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     p, r = F.col("hits") / k, F.when(F.col("relevant") > 0, F.col("hits") / F.col("relevant")).otherwise(0.0)
     return sums.join(ideal, "query", "left").select("query", p.alias("precision"), zero(r).alias("recall"), zero(F.when(F.col("relevant") > 0, F.col("ap_sum") / F.col("relevant"))).alias("ap"), zero(1 / F.col("first")).alias("rr"), zero(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg"))).alias("ndcg"))

@@ -92,11 +92,11 @@ _MEASURES = f"""WITH r AS (SELECT *, (rel > 0)::INT AS hit, (sum((rel > 0)::INT)
 
 
 def measures(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    from ..sources.ranks import running
 
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
-    ranked = docs.select(F.col("lang").alias("query"), rank.alias("rank"), F.coalesce(F.col("quality") * (2 - F.col("toxic")), F.lit(0)).alias("rel"))
+    graded = docs.select(F.col("lang").alias("query"), (-F.col("n_chars")).alias("short"), "doc_id", F.coalesce(F.col("quality") * (2 - F.col("toxic")), F.lit(0)).alias("rel"))
+    ranked = running(graded, "query", ["short", "doc_id"], rank="rank").select("query", "rank", "rel")
     return E.ranked_measures(ranked, ranked.select("query", "rel"), 10)
 
 

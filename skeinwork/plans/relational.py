@@ -174,8 +174,10 @@ def multi_sort(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT lang, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY lang ORDER BY doc_id), 0) AS gap FROM documents")
 def doc_gaps(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    return table(spark, d, "documents").select("lang", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(0))).alias("gap"))
+    from ..sources.ranks import running
+
+    before = running(table(spark, d, "documents").select("lang", "doc_id"), "lang", ["doc_id"], lags={"doc_id": "last"})
+    return before.select("lang", "doc_id", (F.col("doc_id") - F.coalesce("last", F.lit(0))).alias("gap"))
 
 
 @query("SELECT round(greatest(w, 0) / sum(greatest(w, 0)) OVER (), 9) AS share, k FROM (SELECT s_suppkey AS k, s_acctbal AS w FROM supplier)")

@@ -133,6 +133,19 @@ def test_ranks_of_many_rows_with_a_carried_column(spark):
     assert tuple(placed) == (600_000, 1, 600_000, 600_000)
 
 
+def test_running_values_across_partitions(spark):
+    """One group that lies in all partitions, small ones, and one of null: as by a window over whole groups."""
+    from pyspark.sql import Window
+
+    from skeinwork.sources.ranks import running
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 10 < 8, "big").when(F.col("id") % 10 == 8, (F.col("id") % 37).cast("string")).alias("g"), (F.col("id") * 7919 % 5003).alias("o"), (F.col("id") % 5).alias("x"))
+    w = Window.partitionBy("g").orderBy("o")
+    want = rows.select("g", "o", F.row_number().over(w).alias("r"), F.sum("x").over(w).alias("s"), F.lag("o").over(w).alias("l"))
+    got = running(rows, "g", ["o"], rank="r", sums={"x": "s"}, lags={"o": "l"}).select("g", "o", "r", "s", "l")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_merkle_of_many_levels(spark):
     """One shuffle for ten levels gives the root of pairing level by level, whatever the number of leaves."""
     import hashlib
