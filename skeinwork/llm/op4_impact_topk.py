@@ -10,7 +10,8 @@ row's remaining impacts, and by the largest impact left. Rows whose bound lies b
 proven score cannot be members; a query for which few rows are left leaves the block and those are rescored exactly, the
 others go on to the next segment. If bounds never prove it, all segments are processed. Index rows are moved to their
 block once and never copied for queries; queries are copied to the blocks that they could not be proven to skip, and
-stream past a block, so a task holds one block and one batch of them.
+stream past a block, so a task holds one block and one batch of them. What a query has found in a task's blocks raises
+its floor for the next ones, and a task gives out no more than k rows a query.
 
 The pivots come from a bounded sample (SAMPLE rows by hash, at most PIVOTS of them); that decides what can be skipped,
 never what is found. Vectors that are null or hold null or non-finite components take no part, nor do those whose impacts
@@ -36,6 +37,8 @@ STEPS, ENERGY = 32, (0.8, 0.96)
 """Impacts are quantised to so many steps; segments end at the steps by which these shares of a block's squared impacts are in."""
 FEW = 0.1
 """A query leaves a block once at most this share of its rows, or twice k, can still be members: rescoring so many costs no more than a segment."""
+HELD = 100_000
+"""A task gives out its answers once it holds those of more queries."""
 LAYOUT = "block bigint, kind tinyint, level int, id bigint, floor bigint, a binary, b binary, c binary, x double"
 BASE, SEGMENT, QUERY = 0, 1, 2
 
@@ -200,25 +203,49 @@ def build_index(rows: DataFrame, pivots: np.ndarray, width: int) -> tuple[DataFr
     return index, cells
 
 
+class _Best:
+    """The best k answers of each query so far in a task, and with them its floor for the task's next blocks."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
+
+    def floor(self, query: int, given: int) -> int:
+        ids, scores = self.held.get(query, ((), ()))
+        return max(given, int(scores[-1])) if len(ids) == self.k else given
+
+    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if query in self.held:
+            ids, scores = np.concatenate([self.held[query][0], ids]), np.concatenate([self.held[query][1], scores])
+        best = np.lexsort((ids, -scores))[: self.k]
+        self.held[query] = ids[best], scores[best]
+
+    def drain(self) -> pa.RecordBatch:
+        names = np.array(list(self.held), np.int64)
+        ids, scores = [x[0] for x in self.held.values()], [x[1] for x in self.held.values()]
+        blank = np.zeros(0, np.int64)
+        columns = [np.repeat(names, [len(x) for x in ids]), np.concatenate([blank, *ids]), np.concatenate([blank, *scores])]
+        self.held = {}
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
+
+
 def _search_blocks(k: int, width: int):
-    """Streams rows of LAYOUT in order by (block, kind, level): (query_id, vec_id, score) of each query in each block."""
+    """Streams rows of LAYOUT in order by (block, kind, level): (query_id, vec_id, score), each query's best k of the task's blocks."""
 
-    def answers(block: Block, ids: list, floors: list, vecs: list) -> pa.RecordBatch:
-        ids = np.array(ids, np.int64)
-        asked, found, score = [ids[:0]], [ids[:0]], [ids[:0]]
-        for i, rows, exact in block.search(ids, _matrix(vecs, width), np.array(floors, np.int64), k):
-            asked.append(np.full(len(rows), ids[i]))
-            found.append(rows)
-            score.append(exact)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (asked, found, score)], names=["query_id", "vec_id", "score"])
+    def answer(best: _Best, block: Block, ids: list, floors: list, vecs: list) -> None:
+        floors = np.array([best.floor(i, f) for i, f in zip(ids, floors, strict=True)], np.int64)
+        for i, rows, exact in block.search(np.array(ids, np.int64), _matrix(vecs, width), floors, k):
+            if len(rows):
+                best.add(ids[i], rows, exact)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, block, waiting = None, None, ([], [], [])
+        number, block, waiting, best = None, None, ([], [], []), _Best(k)
         for batch in batches:
             for at, kind, ident, floor, a, b, c, x in zip(*(batch.column(n).to_pylist() for n in ("block", "kind", "id", "floor", "a", "b", "c", "x")), strict=True):
                 if waiting[0] and (at != number or len(waiting[0]) == QUERY_BATCH):
-                    yield answers(block, *waiting)
+                    answer(best, block, *waiting)
                     waiting = ([], [], [])
+                    if len(best.held) > HELD:
+                        yield best.drain()
                 if kind == BASE:
                     ids = np.frombuffer(a, np.int64)
                     number, block = at, Block(ids, np.frombuffer(b, np.int32).reshape(len(ids), -1), np.frombuffer(c, np.float64), x)
@@ -228,7 +255,8 @@ def _search_blocks(k: int, width: int):
                     for held, value in zip(waiting, (ident, floor, a), strict=True):
                         held.append(value)
         if waiting[0]:
-            yield answers(block, *waiting)
+            answer(best, block, *waiting)
+        yield best.drain()
 
     return run
 
