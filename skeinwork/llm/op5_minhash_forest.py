@@ -331,7 +331,8 @@ def find_links(df: DataFrame, signed: DataFrame, reps: DataFrame, key: str, text
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row of df; links are pairs of at least ``percent`` similarity."""
-    signed = stage(signatures(df, key, text), "signatures").withColumnRenamed(key, "id")
+    written = stage(signatures(df, key, text), "signatures")
+    signed = written.withColumnRenamed(key, "id")
     found = signed.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"))
     reps = stage(found.withColumn("cls", F.monotonically_increasing_id()), "classes")  # written once, so the numbers hold
     _, _, labels = find_links(df, signed, reps, key, text, percent)
@@ -339,6 +340,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     known = reps.select("set_key", "n", "cls", "rep")
     rows = join_counted(signed.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("set_key")).alias("set_key")), known, "set_key")
     rows = stage(rows.select("id", "n_shingles", "cls", F.col("rep").alias("low")), "rows")
+    forget(written)
     split = rows.filter("cls is not null").groupBy("id").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).filter("c0 != c1").select("id", "c0")
     if split.limit(1).collect():  # rows of one document that differ: their classes are linked through it
         through = rows.filter("cls is not null").join(split, "id").select(F.col("cls").alias("a"), F.col("c0").alias("b"))
@@ -348,6 +350,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         linked = stage(labels.join(known.select("cls", "rep", "n"), F.col("node") == F.col("cls")).select("component", "cls", "rep", "n"), "linked")
         lowest = stage(linked.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")), "lowest")
         of = join_counted(linked.select("cls", "component", F.col("n").alias("rows")), lowest, "component").select("cls", "least", F.col("rows").alias("n"))
-        rows = join_counted(rows, stage(of, "components"), "cls").withColumn("low", F.coalesce("least", "low"))
+        of = stage(of, "components")
+        rows = join_counted(rows, of, "cls").withColumn("low", F.coalesce("least", "low"))
+        forget(labels, linked, lowest)
+    forget(reps)
     component = F.when(F.col("id").isNotNull(), F.coalesce("low", "id"))
     return rows.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -279,6 +279,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     named = stage(named.select("same", "rep", "n", "links", F.coalesce("component", "cls").alias("component")), "named")
     lowest = stage(named.groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("many")), "lowest")
     facts = stage(join_counted(named, lowest, "component", "many").select("same", "n", "links", "least"), "facts")
+    forget(classes, found, named, lowest)
     out = join_counted(usable.select("id", F.when(F.col("id").isNotNull(), F.col("same")).alias("same")), facts, "same")
     component = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
     n_links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))
