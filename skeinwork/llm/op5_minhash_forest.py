@@ -253,6 +253,14 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(ids[used[low[own]]], pa.int64()), "b": pa.array(ids[used[own]], pa.int64())})
 
 
+def _part_links(table: pa.Table, percent: int) -> pa.Table:
+    """_block_links of every (cluster, bi, bj) of one task's rows."""
+    table = table.sort_by([(c, "ascending") for c in ("cluster", "bi", "bj")])
+    keys = np.stack([table[c].to_numpy() for c in ("cluster", "bi", "bj")])
+    cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
+    return pa.concat_tables([_block_links(table.slice(a, b - a), percent) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+
+
 def open_regions(crowded: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(cls, component, cluster, block, straggler counts) of the classes of crowded regions that hold several components.
 
@@ -280,12 +288,16 @@ def exact_links(clusters: DataFrame, classes: DataFrame, sets: DataFrame, percen
     is_main = F.col("component") == F.col("main")
     dealt = dealt.withColumn("block", F.when(is_main, F.col("out") + F.pmod(F.xxhash64("cls"), F.col("inside").cast("long"))).otherwise(F.pmod(F.xxhash64("cls"), F.col("out").cast("long"))).cast("int"))
     others = F.when(is_main, F.sequence(F.lit(0), F.col("out") - 1)).otherwise(F.sequence(F.lit(0), F.col("out") + F.col("inside") - 1))
-    met = dealt.withColumn("with", F.explode(others)).select("cls", "component", "cluster", "block", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"))
-    rows = met.join(sets, "cls").join(classes, "cls").select("cluster", "bi", "bj", "block", "cls", "component", "sig", "shingles")
-    return rows.groupBy("cluster", "bi", "bj").applyInArrow(lambda t: _block_links(t, percent), "a bigint, b bigint")
+    met = dealt.withColumn("with", F.explode(others)).withColumn("bi", F.least("block", "with")).withColumn("bj", F.greatest("block", "with"))
+    # small clusters go several to a task, so that tasks hold about what two blocks do
+    small = F.col("n") <= BLOCK
+    tasks = (sizes.filter(small).agg(F.sum("n").alias("n")).first()["n"] or 0) // BLOCK + 1
+    part = F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(-1 - F.pmod(F.xxhash64("cluster", "bi", "bj"), F.lit(1 << 62)))
+    rows = met.select("cls", "component", "cluster", "block", "bi", "bj", part.alias("part")).join(sets, "cls").join(classes, "cls").select("part", "cluster", "bi", "bj", "block", "cls", "component", "sig", "shingles")
+    return rows.groupBy("part").applyInArrow(lambda t: _part_links(t, percent), "a bigint, b bigint")
 
 
-def find_links(df: DataFrame, signed: DataFrame, reps: DataFrame, key: str, text: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def find_links(df: DataFrame, reps: DataFrame, key: str, text: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(links that the forest gives, links that the exact pass adds, (node, component) over both or None): all between classes."""
     classes = stage(reps.select("cls", "sig"), "class-signatures")
     pairs, crowded = candidates(classes)
@@ -335,7 +347,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     signed = written.withColumnRenamed(key, "id")
     found = signed.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"))
     reps = stage(found.withColumn("cls", F.monotonically_increasing_id()), "classes")  # written once, so the numbers hold
-    _, _, labels = find_links(df, signed, reps, key, text, percent)
+    _, _, labels = find_links(df, reps, key, text, percent)
 
     known = reps.select("set_key", "n", "cls", "rep")
     rows = join_counted(signed.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("set_key")).alias("set_key")), known, "set_key")
